@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, packing
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
+    "op5_mixing": mixing.query,
+    "op8_packing": packing.query,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
