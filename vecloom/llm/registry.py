@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, packing, pii
 
 QUERIES = {
+    "op2_pii": pii.query,
     "op3_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
     "op8_packing": packing.query,
