@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, pii
+from . import exact_dedup, mixing, packing, pii, toxicity
 
 QUERIES = {
+    "op2_pii": pii.query,
     "op2_pii": pii.query,
     "op3_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
     "op8_packing": packing.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
