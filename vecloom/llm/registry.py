@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, pii, toxicity
+from . import chat, exact_dedup, mixing, packing, pii, toxicity
 
 QUERIES = {
     "op2_pii": pii.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
     "op8_packing": packing.query,
+    "op9_chat": chat.query,
     "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op9_chat": chat.ORACLE,
 }
