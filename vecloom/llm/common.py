@@ -118,3 +118,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def unit_hash(column: str, seed: int = 0):
     """A reproducible number in [0, 1) from a column."""
     return (F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 40)) / float(1 << 40)).cast("double")
+
+
+#: Rows of a few numbers and a short key that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 200_000
+
+
+def join_known(rows: DataFrame, known: DataFrame, key: str, n_known: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with one row a key: by broadcast up to BROADCAST_ROWS keys, beyond it salted.
+
+    A key may hold a third of ``rows``; neither way brings its rows to one task.
+    """
+    if n_known <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(known), key, how)
+    salts = parallelism(rows.sparkSession)
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = rows.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    return spread.join(salted.hint("merge"), [key, "_salt"], how).drop("_salt")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, parallelism, read, unit_hash
+from .common import Scratch, join_known, parallelism, read, unit_hash
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -67,7 +67,7 @@ def fill(sources: DataFrame, budget: float, cap: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("source_size") * float(cap), F.col("weight") * F.lit(float(level))))
 
 
-def solve_duals(cells: DataFrame, sources: DataFrame, scratch: Scratch, cap: float) -> DataFrame:
+def solve_duals(cells: DataFrame, sources: DataFrame, n_sources: int, scratch: Scratch, cap: float) -> DataFrame:
     """(key, dual, scale): Newton's iterations for every source at once, kept inside a bracket."""
     far = 1e6
     duals = scratch.put(
@@ -79,7 +79,7 @@ def solve_duals(cells: DataFrame, sources: DataFrame, scratch: Scratch, cap: flo
         tilt = F.col("dual") * x
         rate = F.when(tilt < F.log(F.lit(float(cap))), F.exp(tilt)).otherwise(F.lit(float(cap)))
         slope = F.when(tilt < F.log(F.lit(float(cap))), rate * x * x).otherwise(0.0)
-        sums = cells.join(duals.select("key", "dual", "scale").hint("merge"), "key").groupBy("key").agg(
+        sums = join_known(cells, duals.select("key", "dual", "scale"), "key", n_sources).groupBy("key").agg(
             F.sum(F.col("n") * x * rate).alias("words"), F.sum(F.col("n") * slope).alias("slope")
         )
         step = duals.join(sums, "key", "left")
@@ -112,11 +112,12 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BU
     sources = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sources = scratch.put(fill(scratch.put(source_weights(sources, scratch, weights), "weighted"), budget, cap), "sources")
     cells = scratch.put(sized.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")), "cells")
-    duals = solve_duals(cells, sources, scratch, float(cap))
+    n_sources = sources.count()
+    duals = solve_duals(cells, sources, n_sources, scratch, float(cap))
     known = scratch.put(sources.drop("source").join(duals, "key"), "known")
     tilt = F.col("dual") * F.col("size") / F.col("scale")
     rate = F.when(F.col("full") | (tilt >= F.log(F.lit(float(cap)))), F.lit(float(cap))).otherwise(F.exp(tilt))
-    rated = sized.join(known.hint("merge"), "key").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
+    rated = join_known(sized, known, "key", n_sources).withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
     rated = rated.withColumn("whole", F.floor("rate")).withColumn(
         "bin", F.when((F.col("whole") < cap) & (F.col("size") > 0), F.floor((F.col("draw") - (F.col("rate") - F.col("whole")) + 1) * (BINS / 2)))
     )
@@ -126,7 +127,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BU
     bins = bins.withColumn("base", F.sum("base").over(Window.partitionBy("key"))).withColumn("got", F.col("base") + F.sum("more").over(by_bin))
     cuts = bins.groupBy("key").agg(F.min_by(F.coalesce("bin", F.lit(-1)), F.struct(F.abs(F.col("got") - F.col("target")), "bin")).alias("cut"))
     cuts = scratch.put(known.join(cuts, "key"), "cuts")
-    final = sized.join(cuts.hint("merge"), "key").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0)).withColumn("whole", F.floor("rate"))
+    final = join_known(sized, cuts, "key", n_sources).withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0)).withColumn("whole", F.floor("rate"))
     extra = (F.col("whole") < cap) & (F.col("size") > 0) & (F.floor((F.col("draw") - (F.col("rate") - F.col("whole")) + 1) * (BINS / 2)) <= F.col("cut"))
     final = final.withColumn("copies", F.col("whole") + extra.cast("long"))
     return final.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "rate")
