@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, packing, pii, toxicity
+from . import chat, exact_dedup, html_extract, mixing, packing, pii, toxicity
 
 QUERIES = {
+    "op1_html": html_extract.query,
     "op2_pii": pii.query,
     "op2_pii": pii.query,
     "op3_exact_dedup": exact_dedup.query,
