@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_extract, mixing, packing, pii, toxicity
+from . import chat, exact_dedup, html_extract, mixing, packing, pii, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_html": html_extract.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_pii": pii.query,
     "op3_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op8_packing": packing.query,
     "op9_chat": chat.query,
     "op10_toxicity": toxicity.query,
