@@ -19,6 +19,7 @@ Repeated rows are packed each on their own.  An empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -35,7 +36,7 @@ from .common import Scratch, bound_batches, read, texts
 
 LENGTH, CLOSING, GROUP = 4096, 2, 1024
 #: Words remembered by a worker, about 100 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,16 +45,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Places(dict):
+    """The place of each word in the order seen; ``new`` holds those not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = at = len(self)
+        return at
+
+
 class WordIds:
     """Token ids of texts, equal to ``tokenizer.encode(text, add_special_tokens=False).ids``."""
 
     LIMIT = 0x370
 
     def __init__(self, path: str):
+        # A task is one thread; threads of the tokenizer's own would each hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
         kinds = {"L": [], "N": []}
         for c in range(self.LIMIT):
             if (k := unicodedata.category(chr(c))[0]) in kinds:
@@ -61,40 +79,42 @@ class WordIds:
         letters, numbers = ("".join(f"\\u{c:04x}" for c in kinds[k]) for k in "LN")
         space = "\\t-\\r \\x85\\xa0"
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
+        self.beyond = re.compile(f"[\\u{self.LIMIT:04x}-\U0010ffff]").search
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = Places()
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        """Encodes words in lines of many; every word's last id, and no other, is one that ends a word."""
+        lines = [" ".join(words[i : i + 1024]) for i in range(0, len(words), 1024)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for i in range(0, len(lines), 8) for x in self.tokenizer.encode_batch_fast(lines[i : i + 8], add_special_tokens=False)])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        lengths = np.diff(ends, prepend=0)
+        if len(lengths) != len(words) or ends[-1] != len(ids):
+            raise ValueError("the tokenizer's words are not those of the pre-tokenisation")
+        self.starts = np.concatenate([self.starts, len(self.flat) + ends - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
+        self.flat = np.concatenate([self.flat, ids])
 
     def plain(self, text: str) -> bool:
-        return (text.isascii() or (max(text) < chr(self.LIMIT) and unicodedata.is_normalized("NFC", text))) and not any(x in text for x in self.special)
+        return (text.isascii() or (not self.beyond(text) and unicodedata.is_normalized("NFC", text))) and not any(x in text for x in self.special)
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.at) > REMEMBERED:
             self.forget()
-        split = [self.words(x.lower()) if self.plain(x) else None for x in batch]
-        at, new = self.at, []
-        for words in split:
-            for w in words or ():
-                if w not in at:
-                    at[w] = len(at)
-                    new.append(w)
-        if new:
-            self.learn(new)
+        place = self.at.__getitem__
+        split = [list(map(place, self.words(x.lower()))) if self.plain(x) else None for x in batch]
+        if self.at.new:
+            self.learn(self.at.new)
+            self.at.new = []
         out = []
         for text, words in zip(batch, split, strict=True):
             if words is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+            k = np.array(words, np.int64)
             lengths = self.lengths[k]
             ends = np.cumsum(lengths)
             total = int(ends[-1]) if len(ends) else 0
@@ -102,6 +122,19 @@ class WordIds:
         return out
 
 
+def slices(batch: list[str], size: int = 1 << 19) -> Iterator[list[str]]:
+    """Neighbouring texts of about ``size`` characters in all: words in hand are many times the text."""
+    some, held = [], 0
+    for text in batch:
+        some.append(text)
+        held += len(text)
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 class Room:
     """A tournament tree over the free room of sequences; ``first`` finds the leftmost with enough."""
 
@@ -143,7 +176,7 @@ def _cut(path: str, length: int, closing: int, keep_ids: bool) -> Callable[[Iter
         words, row = WordIds(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = {k: [] for k in ("doc_id", "row", "start", "length", "ids_crc32", "doc_tokens") + (("ids",) if keep_ids else ())}
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(texts(batch.column(1))), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), (ids for some in slices(texts(batch.column(1))) for ids in words.encode(some)), strict=True):
                 ids = np.append(ids, np.uint32(closing)).astype("<u4")
                 for start in range(0, len(ids), length):
                     piece = ids[start : start + length]
@@ -162,7 +195,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, closing
     ``keep_ids`` adds the ids of each piece.
     """
     spark = docs.sparkSession
-    bound_batches(spark, "4m")
+    bound_batches(spark, "2m")
     scratch, schema = Scratch(spark, "packing"), PIECES + (", ids array<int>" if keep_ids else "")
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(path or tokenizer_path(), length, closing, keep_ids), schema)
     pieces = scratch.put(pieces, "pieces")
