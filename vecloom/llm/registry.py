@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_extract, mixing, packing, pii, suffix_dedup, toxicity
+from . import chat, exact_dedup, html_extract, mixing, near_dup, packing, pii, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_html": html_extract.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
     "op5_mixing": mixing.query,
     "op6_suffix_dedup": suffix_dedup.query,
+    "op7_near_dup": near_dup.query,
     "op8_packing": packing.query,
     "op9_chat": chat.query,
     "op10_toxicity": toxicity.query,
