@@ -1,0 +1 @@
+"""Vector quantization and similarity search on Spark DataFrames."""
