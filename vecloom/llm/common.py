@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -38,8 +38,14 @@ class Scratch:
         self.spark, self.base = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        """``df`` as a table of its own; the shuffle files that made it go at once, for nothing reads them again."""
+        path, conf = f"{self.base}/{name}", self.spark.conf
+        before = conf.get(SHUFFLE_CLEANUP, "false")
+        conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.select("*").write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def settle(self) -> None:

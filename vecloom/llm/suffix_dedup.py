@@ -11,7 +11,7 @@ Two suffixes share their first bytes exactly where their names are equal.
 Which suffixes: among the names of depth ``QGRAM`` inside each string of
 ``length`` bytes the least one (the last of equals) owns the string.  Equal
 strings have equal owners, so comparing owners finds every repeated string
-while only one suffix in about thirteen is kept.
+while only one suffix in about fifteen is kept.
 
 Rounds: documents are dealt into batches of about ``batch_bytes``.  A batch
 tells each name only once, whatever its number of copies inside, so a string
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bound_batches, mix64, parallelism, read, utf8, whole_groups
 
-LENGTH, QGRAM = 50, 24
+LENGTH, QGRAM = 50, 20
 BATCH_BYTES = BUCKET_BYTES = 8 << 20
 SLAB_BYTES = 1 << 18
 NO_ID = (1 << 63) - 1
@@ -58,28 +58,26 @@ def pair(first: np.ndarray, later: np.ndarray) -> np.ndarray:
     return mix64(first * U(0x9E3779B97F4A7C15) + later)
 
 
-def names(data: np.ndarray, length: int, qgram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket names of all suffixes of ``data`` at depth ``qgram`` and at depth ``length``."""
-    p = data.astype(np.uint64)
-    v = p[:-1] | (p[1:] << U(8))
-    v = v[:-2] | (v[2:] << U(16))
-    depth, name = 8, mix64(v[:-4] | (v[4:] << U(32)))
-    known = {8: name}
+def words_at(data: bytes) -> np.ndarray:
+    """The 8 bytes from each position on, as a view that copies nothing."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
 
-    def refine(name: np.ndarray, depth: int, to: int) -> np.ndarray:
-        step = to - depth  # at most depth: the name ``step`` bytes on reaches exactly as far as needed
-        return pair(name[: len(name) - step], name[step:])
 
-    while depth * 2 <= qgram:
-        name, depth = refine(name, depth, depth * 2), depth * 2
-    if depth < qgram:
-        name, depth = refine(name, depth, qgram), qgram
-    known[qgram] = name
-    while depth * 2 <= length:
-        name, depth = refine(name, depth, depth * 2), depth * 2
-    if depth < length:
-        name = refine(name, depth, length)
-    return known[qgram], name
+def names(word: np.ndarray, depth: int) -> np.ndarray:
+    """Bucket names of all suffixes at ``depth`` bytes, each refined from names less deep."""
+    at, name = 8, mix64(word)
+    while at < depth:
+        step = min(at, depth - at)  # the name ``step`` bytes on reaches exactly as far as needed
+        name, at = pair(name[: len(name) - step], name[step:]), at + step
+    return name
+
+
+def names_of(word: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Bucket names at ``depth`` bytes of some suffixes: refined by the buckets at every eighth byte."""
+    name = mix64(word[starts])
+    for offset in [*range(8, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
+        name = pair(name, word[starts + offset])
+    return name
 
 
 def sliding(values: np.ndarray, width: int, least: Callable) -> np.ndarray:
@@ -90,65 +88,31 @@ def sliding(values: np.ndarray, width: int, least: Callable) -> np.ndarray:
     return least(values[: len(values) - (width - k)], values[width - k :]) if k < width else values
 
 
-class Suffixes:
-    """The owners in a batch of documents: name, document, where, and the strings each owns."""
-
-    def __init__(self, docs: np.ndarray, bodies: list[bytes], length: int, qgram: int):
-        self.length, parts, at = length, [], 0
-        self.offsets = np.cumsum([0] + [len(b) for b in bodies])
-        self.strings: list[tuple[int, np.ndarray]] = []
-        width, i = length - qgram + 1, 0
-        while i < len(bodies):
-            j, size = i, 0
-            while j < len(bodies) and (j == i or size + len(bodies[j]) <= SLAB_BYTES):
-                size += len(bodies[j])
-                j += 1
-            at = int(self.offsets[i])
-            if size >= length:
-                short, full = names(np.frombuffer(b"".join(bodies[i:j]), np.uint8), length, qgram)
-                n = len(full)
-                # Strings that run over a document's end own nothing.
-                ends = self.offsets[i + 1 : j + 1] - at
-                ok = np.ones(n + length, bool)
-                for e in ends.tolist():
-                    ok[max(0, e - length + 1) : e] = False
-                ok = ok[:n]
-                low = np.where(ok, sliding(short, width, np.minimum), U(0))
-                padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-                owners = np.flatnonzero(sliding(padded, width, np.maximum) == short)
-                starts = np.flatnonzero(ok)
-                if len(starts):
-                    k = np.searchsorted(owners, starts + (width - 1), "right") - 1
-                    wrong = np.flatnonzero(short[owners[k]] != low[starts])
-                    while len(wrong):
-                        k[wrong] -= 1
-                        wrong = wrong[short[owners[k[wrong]]] != low[starts[wrong]]]
-                    # Neighbouring strings of one owner are one run.
-                    own = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-                    last = np.concatenate([own[1:], [len(k)]]) - 1
-                    where, first, end = owners[k[own]], starts[own], starts[last]
-                    around = pair(pair(full[first], full[end]), ((where - first) * 4096 + (end - first)).astype(np.uint64))
-                    parts.append((short[where], around, first + at, end + at))
-                    self.strings.append((at, full))
-            i = j
-        none = np.zeros(0, np.uint64)
-        if parts:
-            self.name, self.around = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
-            self.first, self.end = (np.concatenate([p[c] for p in parts]) for c in (2, 3))
-        else:
-            self.name, self.around, self.first, self.end = none, none, none.astype(np.int64), none.astype(np.int64)
-        self.doc = docs[np.searchsorted(self.offsets, self.first, "right") - 1] if len(self.first) else np.zeros(0, np.int64)
-
-    def string_names(self, positions: np.ndarray) -> np.ndarray:
-        """Names at full depth of the strings at sorted ``positions``."""
-        bases = np.array([a for a, _ in self.strings] + [np.iinfo(np.int64).max])
-        cut = np.searchsorted(positions, bases)
-        return np.concatenate([full[positions[a:b] - base] for (base, full), a, b in zip(self.strings, cut[:-1], cut[1:], strict=True)] or [np.zeros(0, np.uint64)])
+def owners(data: bytes, offsets: np.ndarray, length: int, qgram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the suffixes that own a string, and their names at depth ``qgram``."""
+    width, i, found = length - qgram + 1, 0, []
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLAB_BYTES, "right")) - 1)
+        begin, end = int(offsets[i]), int(offsets[j])
+        if end - begin >= length:
+            name = names(words_at(data[begin:end]), qgram)
+            # Strings that run over a document's end own nothing.
+            ok = np.ones(end - begin + 1, bool)
+            for e in (offsets[i + 1 : j + 1] - begin).tolist():
+                ok[max(0, e - length + 1) : e] = False
+            low = np.where(ok[: end - begin - length + 1], sliding(name, width, np.minimum), U(0))
+            edge = np.zeros(width - 1, np.uint64)
+            at = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), width, np.maximum) == name)
+            found.append((at + begin, name[at]))
+        i = j
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def least_by(keys: np.ndarray, *columns: tuple[Callable, np.ndarray]) -> tuple[np.ndarray, ...]:
     """The distinct keys in order, and of each column its reduction over equal keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     return (k[at], *(f.reduceat(c[order], at) if len(k) else c for f, c in columns))
@@ -197,10 +161,22 @@ def answer(kind: str, blobs: list[bytes]) -> list[bytes]:
 class Batch:
     """What a batch sends in each round and marks in the end, from its texts and the answers so far."""
 
-    def __init__(self, number: int, docs: np.ndarray, bodies: list[bytes], buckets: int, length: int, qgram: int, answers: dict[str, dict[int, bytes]]):
-        self.number, self.buckets, self.docs, self.bodies, self.answers = number, buckets, docs, bodies, answers
-        self.suffixes = s = Suffixes(docs, bodies, length, qgram)
-        self.names, self.low, self.high = least_by(s.name, (np.minimum, s.doc), (np.maximum, s.doc))
+    def __init__(self, number: int, docs: np.ndarray, lengths: np.ndarray, data: bytes, buckets: int, length: int, qgram: int, answers: dict[str, dict[int, bytes]]):
+        self.number, self.buckets, self.docs, self.data, self.answers = number, buckets, docs, data, answers
+        self.length, self.width = length, length - qgram + 1
+        self.offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        self.word = words_at(data)
+        self.at, self.name = owners(data, self.offsets, length, qgram)
+        order = np.argsort(self.name)
+        k = self.name[order]
+        new = np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])
+        self.names = k[new]
+        self.group = np.empty(len(k), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        self.text = np.searchsorted(self.offsets, self.at, "right") - 1
+        docs_of = docs[self.text][order] if len(k) else docs[:0]
+        starts = np.flatnonzero(new)
+        self.shared = np.minimum.reduceat(docs_of, starts) != np.maximum.reduceat(docs_of, starts) if len(k) else np.zeros(0, bool)
 
     def bits(self, kind: str, keys: np.ndarray) -> np.ndarray:
         cut = np.searchsorted(keys, np.array([(b << 64) // self.buckets for b in range(1, self.buckets)], np.uint64))
@@ -213,65 +189,95 @@ class Batch:
     def ids(self, kind: str) -> np.ndarray:
         return np.concatenate([np.frombuffer(x, np.int64) for _, x in sorted(self.answers.get(kind, {}).items())] or [np.zeros(0, np.int64)])
 
+    def settle_owners(self) -> None:
+        """Keeps the owners whose names other documents have, with the strings each owns and all text around it."""
+        self.abroad = self.bits("n", self.names)
+        chosen = np.flatnonzero((self.abroad | self.shared)[self.group])
+        at, name, text = self.at, self.name, self.text
+        where, v = at[chosen], name[chosen]
+        # A string is owned by its least name, the last of equals: up to a lesser owner before and a lesser or equal one after.
+        first, end = np.maximum(where - self.width + 1, self.offsets[text[chosen]]), np.minimum(where, self.offsets[text[chosen] + 1] - self.length)
+        for step, bound in ((-1, first), (1, end)):
+            k, open_ = chosen + step, np.arange(len(chosen))
+            while len(open_):
+                inside = (k[open_] >= 0) & (k[open_] < len(at))
+                open_ = open_[inside]
+                near = at[k[open_]]
+                open_ = open_[near > where[open_] - self.width] if step < 0 else open_[near < where[open_] + self.width]
+                other = name[k[open_]]
+                stop = other < v[open_] if step < 0 else other <= v[open_]
+                hit = open_[stop]
+                if step < 0:
+                    bound[hit] = np.maximum(bound[hit], at[k[hit]] + 1)
+                else:
+                    bound[hit] = np.minimum(bound[hit], at[k[hit]] - self.width)
+                open_ = open_[~stop]
+                k[open_] += step
+        some = first <= end  # of equal names close together an early one may own nothing
+        chosen, where, first, end = chosen[some], where[some], first[some], end[some]
+        self.first, self.end, self.doc, self.own_group = first, end, self.docs[text[chosen]], self.group[chosen]
+        self.around = pair(pair(names_of(self.word, first, self.length), names_of(self.word, end, self.length)), ((where - first) * 4096 + (end - first)).astype(np.uint64))
+        self.out = self.abroad[self.own_group]
+
     def send(self, round_: int) -> Iterator[tuple[str, int, int, bytes]]:
         if round_ == 1:
             yield from deal("n", self.number, self.buckets, self.names)
             return
-        s, abroad = self.suffixes, self.bits("n", self.names)
-        alive = look_up(s.name, self.names, abroad, False)
+        self.settle_owners()
         if round_ == 2:
-            around = s.around[alive]
-            yield from deal("m", self.number, self.buckets, *least_by(s.name[alive], (np.minimum, around.view(np.int64)), (np.maximum, around.view(np.int64))))
-            yield from deal("a", self.number, self.buckets, *least_by(around, (np.minimum, s.doc[alive])))
+            around = self.around[self.out]
+            signed = around.view(np.int64)
+            yield from deal("m", self.number, self.buckets, *least_by(self.names[self.own_group[self.out]], (np.minimum, signed), (np.maximum, signed)))
+            yield from deal("a", self.number, self.buckets, *least_by(around, (np.minimum, self.doc[self.out])))
             return
-        told = self._told()
-        yield from deal("s", self.number, self.buckets, *told)
+        self.hear()
+        yield from deal("s", self.number, self.buckets, *self.told())
 
-    def _state(self) -> tuple[np.ndarray, np.ndarray]:
+    def hear(self) -> None:
         """Of each owner: the smallest document with its surrounding, and whether its name has several surroundings."""
-        s, abroad = self.suffixes, self.bits("n", self.names)
-        alive = look_up(s.name, self.names, abroad, False)
-        sent, _ = least_by(s.around[alive], (np.minimum, s.doc[alive]))
-        known, low = least_by(s.around, (np.minimum, s.doc))
-        smallest = np.minimum(look_up(s.around, known, low, NO_ID), look_up(s.around, sent, self.ids("a"), NO_ID))
-        names, a, b = least_by(s.name, (np.minimum, s.around), (np.maximum, s.around))
-        several = look_up(s.name, names, a != b, False)
-        asked = least_by(s.name[alive])[0]
-        return smallest, several | look_up(s.name, asked, self.bits("m", asked), False)
-
-    def _single(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sent, _ = least_by(self.around[self.out], (np.minimum, self.doc[self.out]))
+        known, low = least_by(self.around, (np.minimum, self.doc))
+        smallest = low.copy()
+        if len(sent):
+            at = np.searchsorted(known, sent)
+            smallest[at] = np.minimum(smallest[at], self.ids("a"))
+        self.smallest = look_up(self.around, known, smallest, NO_ID)
+        groups, a, b = least_by(self.own_group, (np.minimum, self.around), (np.maximum, self.around))
+        several = np.zeros(len(self.names), bool)
+        several[groups] = a != b
+        several[self.abroad] |= self.bits("m", self.names[self.abroad])
+        self.several = several[self.own_group]
+
+    def single(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The strings of the chosen owners: owner's place and start of each."""
-        s = self.suffixes
-        counts = (s.end - s.first + 1)[chosen]
-        owner = np.repeat(chosen, counts)
-        starts = np.repeat(s.first[chosen] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-        return owner, starts
-
-    def _told(self) -> tuple[np.ndarray, np.ndarray]:
-        s = self.suffixes
-        smallest, several = self._state()
+        counts = (self.end - self.first + 1)[chosen]
+        starts = np.repeat(self.first[chosen] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        return np.repeat(chosen, counts), starts
+
+    def told(self) -> tuple[np.ndarray, np.ndarray]:
         # The document that holds a surrounding first tells its strings for all that hold it.
-        owner, starts = self._single(np.flatnonzero(several & (smallest == s.doc)))
-        return least_by(s.string_names(starts), (np.minimum, s.doc[owner]))
+        owner, starts = self.single(np.flatnonzero(self.several & (self.smallest == self.doc)))
+        return least_by(names_of(self.word, starts, self.length), (np.minimum, self.doc[owner]))
 
     def cut(self) -> Iterator[tuple[int, int, int, bytes]]:
         """Of each document: bytes, bytes removed, runs removed, what is kept."""
-        s, total = self.suffixes, int(self.suffixes.offsets[-1])
-        smallest, several = self._state()
-        marks = np.zeros(total + 1, np.int32)
-        whole = smallest < s.doc
-        np.add.at(marks, s.first[whole], 1)
-        np.add.at(marks, s.end[whole] + s.length, -1)
-        owner, starts = self._single(np.flatnonzero(several & ~whole))
+        self.settle_owners()
+        self.hear()
+        marks = np.zeros(len(self.data) + 1, np.int32)
+        whole = self.smallest < self.doc
+        np.add.at(marks, self.first[whole], 1)
+        np.add.at(marks, self.end[whole] + self.length, -1)
+        # What is not whole is told, by this very document: its names are looked up among those sent.
+        owner, starts = self.single(np.flatnonzero(self.several & ~whole))
         if len(starts):
-            told = self._told()[0]
-            found = look_up(s.string_names(starts), told, self.ids("s"), NO_ID) if len(told) else np.full(len(starts), NO_ID)
-            starts = starts[found < s.doc[owner]]
+            name = names_of(self.word, starts, self.length)
+            told, _ = least_by(name, (np.minimum, self.doc[owner]))
+            starts = starts[look_up(name, told, self.ids("s"), NO_ID) < self.doc[owner]]
             np.add.at(marks, starts, 1)
-            np.add.at(marks, starts + s.length, -1)
+            np.add.at(marks, starts + self.length, -1)
         gone = np.cumsum(marks[:-1]) > 0
-        for i, body in enumerate(self.bodies):
-            mask = gone[s.offsets[i] : s.offsets[i + 1]]
+        for begin, end in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+            body, mask = self.data[begin:end], gone[begin:end]
             removed = int(mask.sum())
             spans = int((mask[1:] & ~mask[:-1]).sum()) + int(mask[0]) if removed else 0
             yield len(body), removed, spans, np.frombuffer(body, np.uint8)[~mask].tobytes() if removed else body
@@ -320,9 +326,7 @@ def _batches(rows: Iterator[pa.RecordBatch], buckets: int, length: int, qgram: i
                     own = row
             lengths, packed = np.frombuffer(own["lengths"], "<i8"), own["blob"]
             body = pa.Codec("zstd", 1).decompress(packed[8:], struct.unpack("<q", packed[:8])[0], asbytes=True)
-            ends = np.cumsum(lengths)
-            bodies = [body[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            yield Batch(own["batch"], np.frombuffer(own["doc_ids"], "<i8"), bodies, buckets, length, qgram, answers)
+            yield Batch(own["batch"], np.frombuffer(own["doc_ids"], "<i8"), lengths, body, buckets, length, qgram, answers)
 
 
 def _reduce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
