@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_extract, mixing, near_dup, packing, pii, suffix_dedup, toxicity
+from . import ann, chat, exact_dedup, html_extract, mixing, near_dup, packing, pii, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_html": html_extract.query,
     "op2_pii": pii.query,
     "op2_pii": pii.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op4_ann": ann.query,
     "op5_mixing": mixing.query,
     "op6_suffix_dedup": suffix_dedup.query,
     "op7_near_dup": near_dup.query,
