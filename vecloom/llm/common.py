@@ -34,8 +34,8 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder; ``drop`` removes the ones no later step reads."""
 
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.base = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, tag: str, compression: str = "zstd"):
+        self.spark, self.base, self.compression = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}", compression
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a table of its own; the shuffle files that made it go at once, for nothing reads them again."""
@@ -43,7 +43,7 @@ class Scratch:
         before = conf.get(SHUFFLE_CLEANUP, "false")
         conf.set(SHUFFLE_CLEANUP, "true")
         try:
-            df.select("*").write.option("compression", "zstd").parquet(path)
+            df.select("*").write.option("compression", self.compression).parquet(path)
         finally:
             conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -63,6 +63,11 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name of theirs meets one used on the way; ``select("row.*")`` gives them back."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions as the session plans them; grows with the cluster, not with a constant here."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
