@@ -61,6 +61,7 @@ def test_exact_deduplicate_keeps_columns(spark):
     df = docs(spark, ODD, True)
     got = exact_dedup.deduplicate(df)
     assert got.columns == df.columns
+    assert got.where("_id = 'clash' and _sha = 'clash' and key = 'clash'").count() == got.count()
     assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted([2, None, 3, 5, 6, 7, 8], key=repr)
 
 
@@ -121,6 +122,7 @@ def test_near_keeps_one_of_each_class(spark):
     df = docs(spark, rows, True)
     got = near_dup.deduplicate(df)
     assert got.columns == df.columns
+    assert got.where("_id = 'clash' and _text = 'clash' and node = 'clash'").count() == got.count()
     want = Counter()
     for d, c, _, _ in brute_near(rows):
         if d == c:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, bound_batches, utf8
+from .common import Scratch, bound_batches, boxed, read, utf8
 
 #: Two primes under 2**31 and a base for each; sums of 2**20 products of a byte and a residue fit in 64 bits.
 PRIMES = (2147483647, 2147483629)
@@ -138,9 +138,9 @@ def decisions(docs: DataFrame, poly: Polynomial | None = None, compare_bytes: in
 def deduplicate(docs: DataFrame, poly: Polynomial | None = None) -> DataFrame:
     """``docs`` without the rows that fall to a larger doc_id of equal text; columns unchanged."""
     kept = decisions(docs, poly).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    full = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).withColumn("_id", F.col("doc_id").cast("long"))
-    full = full.join(kept.hint("merge"), (full["_sha"] == kept["_sha"]) & full["_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return full.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    full = boxed(docs).withColumn("sha", F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256)).withColumn("id", F.col("row.doc_id").cast("long"))
+    full = full.join(kept.hint("merge"), (full["sha"] == kept["_sha"]) & full["id"].eqNullSafe(kept["_id"]), "left_semi")
+    return full.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, join_known, parallelism, read, unit_hash
+from .common import Scratch, boxed, join_known, parallelism, read, unit_hash
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -71,7 +71,7 @@ def solve_duals(cells: DataFrame, sources: DataFrame, n_sources: int, scratch: S
     """(key, dual, scale): Newton's iterations for every source at once, kept inside a bracket."""
     far = 1e6
     duals = scratch.put(
-        sources.select("key", "target", "source_size", (F.col("source_size") / F.greatest("docs", F.lit(1))).alias("scale"), F.lit(0.0).alias("dual"), F.lit(-far).alias("low"), F.lit(far).alias("high")),
+        sources.select("key", "target", "source_size", F.when(F.col("source_size") > 0, F.col("source_size") / F.col("docs")).otherwise(1.0).alias("scale"), F.lit(0.0).alias("dual"), F.lit(-far).alias("low"), F.lit(far).alias("high")),
         "duals_0",
     )
     for i in range(1, ROUNDS + 1):
@@ -85,7 +85,7 @@ def solve_duals(cells: DataFrame, sources: DataFrame, n_sources: int, scratch: S
         step = duals.join(sums, "key", "left")
         gap = F.coalesce("words", F.lit(0.0)) - F.col("target") / F.col("scale")
         low, high = F.when(gap < 0, F.col("dual")).otherwise(F.col("low")), F.when(gap > 0, F.col("dual")).otherwise(F.col("high"))
-        newton = F.col("dual") - gap / F.col("slope")
+        newton = F.col("dual") - F.try_divide(gap, F.col("slope"))
         # Outside the bracket the step halves it on a logarithmic scale.
         half = F.sinh((F.asinh(low) + F.asinh(high)) / 2)
         done = (F.col("source_size") == 0) | (F.col("target") >= cap * F.col("source_size")) | (F.abs(gap) * F.col("scale") <= TOLERANCE * F.col("target"))
@@ -136,9 +136,9 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BU
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; rows without words go. Columns unchanged."""
     copies = plan(docs, **settings).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).distinct()
-    own = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
-    same = own["doc_id"].eqNullSafe(copies["_id"]) & own["source"].eqNullSafe(copies["_source"]) & (own["_words"] == copies["_size"])
-    return own.join(copies.hint("merge"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    own = boxed(docs).withColumn("words", F.coalesce(F.regexp_count("row.text", F.lit(WORDS)), F.lit(0)).cast("long"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size"))
+    return own.join(copies.hint("merge"), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

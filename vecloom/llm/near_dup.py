@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, mix64, parallelism, read, utf8, whole_groups
+from .common import Scratch, bound_batches, boxed, mix64, parallelism, read, utf8, whole_groups
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -300,8 +300,8 @@ def classes(
 def deduplicate(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest doc_id; columns unchanged."""
     kept = classes(docs, **settings).where("doc_id <=> class_id").select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("_id")).distinct()
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63))).join(kept, "_id", "left_semi")
-    return own.withColumn("_text", F.xxhash64("text")).dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    own = boxed(docs).withColumn("_id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-1 << 63))).join(kept, "_id", "left_semi")
+    return own.withColumn("_text", F.xxhash64("row.text")).dropDuplicates(["_id", "_text"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
