@@ -288,3 +288,12 @@ def extract(pages: DataFrame, **settings) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+#: For tables whose pages all keep their text in one ``article`` with these few tags and character references.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]+>', ' ', 'g') AS x FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM b)
+SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS n_chars FROM c
+"""

@@ -306,3 +306,15 @@ def deduplicate(docs: DataFrame, **settings) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM d),
+s AS (SELECT doc_id, unnest(g) AS run FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (run) WHERE a.doc_id <> b.doc_id GROUP BY x, y),
+l AS (SELECT x, y FROM p JOIN g a ON a.doc_id = x JOIN g b ON b.doc_id = y WHERE k * 5 >= 4 * (len(a.g) + len(b.g) - k)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM g UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.doc_id)
+SELECT r.doc_id, min(c) AS class_id, (SELECT count(*) FROM l WHERE x = r.doc_id) AS n_links, any_value(len(g.g)) AS n_runs FROM r JOIN g USING (doc_id) GROUP BY r.doc_id
+"""

@@ -7,7 +7,6 @@ from . import ann, chat, exact_dedup, html_extract, mixing, near_dup, packing, p
 QUERIES = {
     "op1_html": html_extract.query,
     "op2_pii": pii.query,
-    "op2_pii": pii.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_ann": ann.query,
     "op5_mixing": mixing.query,
@@ -18,6 +17,9 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
+    "op1_html": html_extract.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
+    "op7_near_dup": near_dup.ORACLE,
     "op9_chat": chat.ORACLE,
 }

@@ -385,3 +385,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, qgram: int = QGRAM, ba
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLE = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS s, h FROM h WHERE length(h) >= 100),
+v AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS x FROM w),
+m AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY x) AS first FROM v) WHERE first < doc_id),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (
+  SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 OR lag(s) OVER (PARTITION BY doc_id ORDER BY s) IS NULL THEN 1 ELSE 0 END AS new FROM m)),
+r AS (SELECT doc_id, run, min(s) AS a, max(s) + 50 AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS begins, a AS ends, b FROM r),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last FROM r GROUP BY doc_id),
+o AS (SELECT k.doc_id, string_agg(substr(h, CAST(2 * begins + 1 AS BIGINT), CAST(2 * (ends - begins) AS BIGINT)), '' ORDER BY begins) AS x FROM k JOIN h USING (doc_id) GROUP BY k.doc_id)
+SELECT h.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE o.x || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM h LEFT JOIN t USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
