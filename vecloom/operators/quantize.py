@@ -24,7 +24,7 @@ from ..plans.model import Model
 from .clustering import centroid_table
 from .tiles import SMALL_BYTES, matrix
 
-#: Spread of the error bound.
+#: Fixed value: the spread of the error bound.
 ERROR_WIDTH = 1.9
 FACTORS = ("norm", "rescale", "error", "cosine")
 

@@ -25,11 +25,11 @@ class CodeConfig:
     epsilon: float = 1e-8
     #: Code at this many bits first and keep the top ones; 0: at the target bits.
     source_bits: int = 0
-    kind: str = "caq"
+    kind: str = "adjusted"
 
     def __post_init__(self) -> None:
-        if self.kind != "caq":
-            raise ValueError(f"quantizer {self.kind!r}: only 'caq' is implemented")
+        if self.kind != "adjusted":
+            raise ValueError(f"quantizer {self.kind!r}: only 'adjusted' is implemented")
         if self.source_bits and not 0 < self.source_bits <= MAX_BITS:
             raise ValueError(f"source_bits up to {MAX_BITS}")
 
@@ -60,7 +60,7 @@ class QuantizeConfig:
     def name(self) -> str:
         """A folder name that tells the settings apart."""
         bits = f"{self.avg_bits:g}"
-        parts = [f"b{bits}"] + ["norotate"] * (not self.code.rotate) + ["caq"]
+        parts = [f"b{bits}"] + ["norotate"] * (not self.code.rotate)
         if self.code.adjust:
             parts.append("adj" if self.code.max_rounds == 6 else f"adj{self.code.max_rounds}")
         if self.code.source_bits:
@@ -81,7 +81,7 @@ class SearchConfig:
     bound_multiplier: float = 4.0
     #: Skip what the bounds rule out; the bounds are heuristic, so this may lose neighbours.
     prune: bool = False
-    #: Constants of the fast estimate.
+    #: Fixed values of the fast estimate.
     fast_shift: float = 0.58
     fast_scale: float = 0.8
 
