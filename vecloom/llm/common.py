@@ -8,6 +8,8 @@ missing (tests on one machine) a temporary folder is made.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -31,11 +33,29 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Folders of scratch tables; results read them lazily, so they go when the driver ends.
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear() -> None:
+    for spark, base in _MADE:
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(spark, base)
+
+
 class Scratch:
     """Tables written to the shared folder; ``drop`` removes the ones no later step reads."""
 
     def __init__(self, spark: SparkSession, tag: str, compression: str = "zstd"):
+        if not _MADE:
+            atexit.register(_clear)
         self.spark, self.base, self.compression = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}", compression
+        _MADE.append((spark, self.base))
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a table of its own; the shuffle files that made it go at once, for nothing reads them again."""
@@ -54,9 +74,7 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.base}/{name}")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
