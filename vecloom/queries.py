@@ -1,7 +1,7 @@
 """The engine's operators as named queries over the driver's tables, with the SQL that must agree.
 
-Roles: ``embeddings`` is the base, rows with vec_id below 10 are the queries,
-labels are the clusters and their means the centroids.
+Roles: every row of ``embeddings`` is in the base and is a query, labels are the
+clusters and their means the centroids.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .sources import vecfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-N_QUERIES, K, NPROBE, BITS, DIMS = 10, 10, 3, 4, 64
+K, NPROBE, BITS, DIMS = 10, 3, 4, 64
 PLAIN = QuantizeConfig(avg_bits=BITS, segmentation=False, code=CodeConfig(rotate=False, adjust=False))
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -49,7 +49,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir).where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), "embedding")
+    return base(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -60,9 +60,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 # ---- shared SQL -----------------------------------------------------------
 
-E = f"""
+E = """
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
-q AS (SELECT vec_id AS query_id, v FROM e WHERE vec_id < {N_QUERIES})"""
+q AS (SELECT vec_id AS query_id, v FROM e)"""
 C = (
     E
     + """,
@@ -150,10 +150,10 @@ def l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select("vec_id", rounded(n).alias("norm2"), rounded(F.sqrt(n)).alias("norm"))
 
 
-@query("pair_products", f"WITH {E} SELECT query_id, e.vec_id, {R.format(IP_OF.format('q.v', 'e.v'))} AS ip, {R.format(L2_OF.format('q.v', 'e.v'))} AS l2 FROM q, e WHERE e.vec_id < 100")
+@query("pair_products", f"WITH {E} SELECT query_id, e.vec_id, {R.format(IP_OF.format('q.v', 'e.v'))} AS ip, {R.format(L2_OF.format('q.v', 'e.v'))} AS l2 FROM q, e")
 def pair_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = asked(spark, sf_dir).select("query_id", F.col("embedding").alias("q"))
-    pairs = base(spark, sf_dir).where("vec_id < 100").crossJoin(F.broadcast(q))  # ten queries
+    pairs = base(spark, sf_dir).crossJoin(q)  # the query set against all rows
     return pairs.select("query_id", "vec_id", rounded(V.inner_product("q", "embedding")).alias("ip"), rounded(V.squared_distance("q", "embedding")).alias("l2"))
 
 
@@ -161,8 +161,8 @@ def exploded(df: DataFrame, vector) -> DataFrame:
     return df.select("vec_id", F.posexplode(vector).alias("dim", "v")).select("vec_id", "dim", rounded("v").alias("v"))
 
 
-def sql_exploded(vector: str, where: str = "") -> str:
-    return f"WITH {E} SELECT vec_id, CAST(i AS INTEGER) AS dim, {R.format('x[i + 1]')} AS v FROM (SELECT vec_id, {vector} AS x FROM e {where}), unnest(range(len(x))) AS t(i)"
+def sql_exploded(vector: str) -> str:
+    return f"WITH {E} SELECT vec_id, CAST(i AS INTEGER) AS dim, {R.format('x[i + 1]')} AS v FROM (SELECT vec_id, {vector} AS x FROM e), unnest(range(len(x))) AS t(i)"
 
 
 @query("normalize", sql_exploded("list_transform(v, lambda y: y * 3 / sqrt(list_inner_product(v, v) * 9))"))
@@ -176,9 +176,9 @@ def pad_and_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(base(spark, sf_dir), V.segment(V.padded("embedding", 24), 50, 24))
 
 
-@query("hadamard_rotate", sql_exploded(f"list_transform(range({DIMS}), lambda i: list_sum(list_transform(range({DIMS}), lambda j: v[j + 1] * (CASE WHEN bit_count(i & j) % 2 = 0 THEN 1.0 ELSE -1.0 END))) / 8.0)", "WHERE vec_id < 100"))
+@query("hadamard_rotate", sql_exploded(f"list_transform(range({DIMS}), lambda i: list_sum(list_transform(range({DIMS}), lambda j: v[j + 1] * (CASE WHEN bit_count(i & j) % 2 = 0 THEN 1.0 ELSE -1.0 END))) / 8.0)"))
 def hadamard_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(base(spark, sf_dir).where("vec_id < 100"), V.hadamard("embedding", DIMS))
+    return exploded(base(spark, sf_dir), V.hadamard("embedding", DIMS))
 
 
 @query(
@@ -248,10 +248,11 @@ def holdout_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.agg(F.count("*").cast("int").alias("asked")).crossJoin(rest.agg(F.count("*").alias("rest")))  # one row each
 
 
-@query("first_rows", "SELECT vec_id, label FROM embeddings WHERE vec_id < 300 ORDER BY vec_id LIMIT 250")
+@query("first_rows", "SELECT vec_id, label FROM (SELECT 0 AS part, vec_id, label FROM embeddings UNION ALL SELECT 1, vec_id, label FROM embeddings) ORDER BY part, vec_id LIMIT 700")
 def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 700 rows of two tables read one after the other."""
     v = base(spark, sf_dir).select("vec_id", "label")
-    return transforms.first_rows([v.where("vec_id < 100"), v.where("vec_id >= 100 and vec_id < 300")], 250)
+    return transforms.first_rows([v, v], 700)
 
 
 @query("equal_plan", "SELECT * FROM (VALUES (0, 0, 64, 4), (1, 64, 64, 4), (2, 128, 64, 4), (3, 192, 64, 4)) AS t(segment, dim_offset, dim_len, bits)")
@@ -458,7 +459,7 @@ def prune_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRUTH = f"t AS ({sql_ranked(KNN_L2, 'd', K)}), s AS ({sql_ranked(IVF, 'd', K)})"
 
 
-@query("recall_at_k", f"WITH {C}, {PROBE}, {TRUTH} SELECT count(*) AS hits, CAST({N_QUERIES * K} AS BIGINT) AS of, {R.format(f'count(*) / {N_QUERIES * K}.0')} AS recall FROM t JOIN s USING (query_id, vec_id)")
+@query("recall_at_k", f"WITH {C}, {PROBE}, {TRUTH} SELECT count(*) AS hits, (SELECT count(*) * {K} FROM q) AS of, {R.format(f'count(*) / (SELECT count(*) * {K}.0 FROM q)')} AS recall FROM t JOIN s USING (query_id, vec_id)")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = knn.exact_knn(base(spark, sf_dir), asked(spark, sf_dir), K)
     return evaluate.recall(ivf(spark, sf_dir), truth, K).select("hits", "of", rounded("recall").alias("recall"))
