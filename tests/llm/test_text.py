@@ -46,6 +46,22 @@ def test_paths_leave_out_the_rest():
     assert got == "Title 3 Body & soul. Thank you for reading this site."
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><h2 id='related-work'>a</h2><p id='notice-periods'>b</p><h3 id=navigation>c</h3> <span class=share>d</span><section id='search-results'>e</section></article>", "a b c d e"),
+        ("<div class='article-body promo-free'><p>whole</p></div>", "whole"), ("<div class='search-page'><article>a</article></div>", "a"),
+        ("<div class='post-meta'>m</div><div><h1 class='post-title'>t</h1><p>text</p></div>", "m t text"),
+        ("<div class='post-content'>c<div class='share-buttons'>s</div><div class='related-work'>w</div><ol class='comment-list'><li>k</ol></div><p>o</p>", "c w"),
+        ("<article>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> be</article>", "Let x=2 be"),
+        ("<main><div class='alert'>mind</div><div class=menu>n</div></main>", "mind"), ("<div data-id='ad'>x</div><div class='ad'>y</div>", "x"),
+    ],
+)
+def test_names_take_no_article_text(page, text):
+    """Only whole names of containers make something other than the article, or the article."""
+    assert html_extract.main_text(page) == text
+
+
 PAGES = "page_id long, url string, html string, host string, token string, constant string"
 
 

@@ -11,10 +11,12 @@ nest by their counts (a class seen once a page holds one seen many times) and
 make up the host's template.  Template text is boilerplate.  What remains are
 the template's slots; a slot is main text or not by the path it lies in.
 
-Path rules: an ``article`` or ``main`` (or a container named as such) holds the
-main text where a page has one; menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments of readers and whatever is named so
-are left out.  Headings in a header inside the article belong to the article.
+Path rules: an ``article`` or ``main`` (or a container named so as a whole)
+holds the main text where a page has one; menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, comments of readers and containers
+named so are left out.  Inside the article only whole class and role names of
+containers count: no id, and no name of a heading, a paragraph or words in one,
+takes text away.  Headings in a header inside the article belong to the article.
 
 Defined results: null, empty and tag-only html give an empty text.  A host seen
 on fewer than ``min_pages`` pages, or whose pages mostly repeat one another, has
@@ -39,17 +41,23 @@ from .common import Scratch, bound_batches, join_known, read, texts
 MIN_PAGES, MIN_SHARE, MIN_VARIETY = 6, 0.9, 0.5
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|(?=<)|\Z)", re.DOTALL)
-NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+NAMES = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style title textarea xmp noembed noframes iframe svg math template noscript".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mstyle mpadded menclose mfenced merror".split()
+)
+#: Not shown as text; an annotation repeats a formula in another notation.
+RAW = frozenset("script style title textarea xmp noembed noframes iframe svg annotation annotation-xml template noscript".split())
 NO_TEXT = frozenset("nav footer aside form button select option datalist dialog head menu object audio video canvas map".split())
 OWN_KIND = frozenset("li dt dd tr td th option p".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset("article main".split())
 MAIN_NAMES = frozenset("main content article articlebody post entry story".split())
+#: Tags that a name can make something other than the article; names of headings, paragraphs, items and words tell what their text is about.
+CONTAINERS = frozenset("div section form fieldset details ul ol dl table header center".split())
 #: Names of what is not the article.
 OTHER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification "
@@ -58,6 +66,19 @@ OTHER_NAMES = frozenset(
 )
 #: Names that may also say how the page around the article is laid out: an article inside one is still an article.
 LAYOUT_NAMES = frozenset("sidebar header masthead menu nav navbar navigation footer widget widgets banner alert complementary contentinfo".split())
+HEADER = frozenset({"header"})
+#: Names of parts of a page that are no less the article for it: in an article a notice or an alert is a remark of its author.
+REMARKS = frozenset("notice notices notification alert".split())
+#: A copy of these is no article though its tag or another name says so.
+NO_ARTICLE = frozenset("comment comments reply related teaser sponsored ad".split())
+#: Parts of a name that add nothing to the others: "share-buttons" is a whole name for sharing, "promo-free" is none for promotion.
+PLAIN_PARTS = frozenset(
+    "area articles bar block body bottom box button buttons column container form group holder icon icons inner item items left link links list media outer "
+    "panel placeholder post posts right row section slot stories text thread title top unit wrap wrapper".split()
+)
+#: The same for names of the article: "post-content" and "entry-body" are whole, "post-meta" and "post-title" are not.
+PLAIN_MAIN = frozenset("area body column container inner outer page primary site text wrap wrapper".split())
+
 
 
 class Text:
@@ -72,11 +93,39 @@ class Text:
 BREAK = None
 
 
-def names_of(attributes: str) -> list[frozenset[str]]:
-    """The names an element goes by, each as its parts: ``class="main-menu wide"`` has {main, menu} and {wide}."""
+def names_of(attributes: str) -> list[tuple[str, frozenset[str]]]:
+    """The names an element goes by, each with its attribute and as its parts: ``class="main-menu wide"`` has {main, menu} and {wide}."""
     if not attributes or "=" not in attributes:
         return []
-    return [frozenset(p.lower() for p in PARTS.findall(name)) for m in NAMES.finditer(attributes) for name in (m.group(m.lastindex or 1) or "").split()]
+    return [(m.group(1).lower(), frozenset(p.lower() for p in PARTS.findall(name))) for m in NAMES.finditer(attributes) for name in (m.group(m.lastindex) or "").split()]
+
+
+def whole(parts: frozenset[str], names: frozenset[str], plain: frozenset[str] = PLAIN_PARTS) -> bool:
+    """Whether a name as a whole is one of ``names``, as "comment-list" is of {comment}."""
+    return not parts.isdisjoint(names) and parts <= names | plain
+
+
+def dropped_by_name(tag: str, apart: list[tuple[str, frozenset[str]]], main: bool, article: bool) -> int:
+    """2 where an element's names say that it is not the article, 1 where an article inside it still is one, else 0.
+
+    In an article only containers go, by whole class and role names.  Elsewhere
+    containers go by ids too, and by parts of class and role names as layout;
+    other tags by whole class and role names.
+    """
+    kinds = [parts for kind, parts in apart if kind != "id"]
+    if main:
+        return 2 if any(whole(parts, NO_ARTICLE) for parts in kinds) else 0
+    others, layout = OTHER_NAMES, LAYOUT_NAMES - {"header"}
+    if article:
+        others, layout = others - REMARKS, layout - REMARKS
+    if tag not in CONTAINERS:
+        return 2 if not article and any(whole(parts, others) for parts in kinds) else 0
+    tried = kinds if article else [parts for _, parts in apart]
+    if any(whole(parts, others) for parts in tried):
+        return 2
+    if any(whole(parts, layout) for parts in tried):
+        return 1
+    return int(not article and any(not parts.isdisjoint(others | layout) for parts in kinds))
 
 
 def parse(page: str) -> tuple[list[Text | None], list[str]]:
@@ -131,19 +180,16 @@ def parse(page: str) -> tuple[list[Text | None], list[str]]:
             del stack[1:]
         parent = stack[-1]
         apart = names_of(m.group(3))
-        names = frozenset().union(*apart)
-        # One name that says both, as main-menu does, is no main text; two names, as in "content with-sidebar", are.
-        by_name = any(x & MAIN_NAMES and not x & (LAYOUT_NAMES | OTHER_NAMES) for x in apart)
-        main = tag in MAIN_TAGS or by_name and tag not in INLINE and tag not in ("html", "body")
+        names = frozenset().union(*(parts for _, parts in apart))
+        # A whole name makes a main text: "post-content" does, "post-meta" and "main-menu" do not.
+        by_name = any(whole(parts, MAIN_NAMES, PLAIN_MAIN) for _, parts in apart)
+        main = tag in MAIN_TAGS or by_name and tag not in INLINE and tag not in HEADINGS and tag not in ("html", "body", "p")
         drop, article, header = parent[2], parent[3], parent[4]
         if main and drop == 1:
             drop = 0
         if tag not in ("html", "body"):
-            if tag in NO_TEXT or names & OTHER_NAMES and not (tag in MAIN_TAGS and not names & {"comment", "comments", "reply", "related", "teaser", "sponsored", "ad"}):
-                drop = 2
-            elif names & (LAYOUT_NAMES - {"header"}) and not main:
-                drop = max(drop, 1)
-            if tag == "header" or "header" in names and not main and tag not in HEADINGS:
+            drop = max(drop, 2 if tag in NO_TEXT else dropped_by_name(tag, apart, main, article))
+            if tag == "header" or tag in CONTAINERS and not main and any(whole(parts, HEADER) for kind, parts in apart if kind != "id" or not article):
                 header = True
         path = f"{parent[1]}/{tag}" + ("." + ".".join(sorted(names)) if names else "")
         tags.append(path)
