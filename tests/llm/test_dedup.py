@@ -117,6 +117,17 @@ def test_near_against_brute_force(spark, block):
     assert sorted(got, key=repr) == sorted(brute_near(rows), key=repr)
 
 
+def test_near_counts_links_once_among_empty_blocks(spark):
+    """Few long texts and many ways: most blocks are empty, and a pair is compared in one task only."""
+    rows = []
+    for g in range(6):
+        base = words(3000, 500 + g)
+        rows += [(10 * g + i, " ".join([*base, f"end{i}"])) for i in range(2 + g % 2)]
+    for most in (400, 2000):
+        got = rows_of(near_dup.classes(docs(spark, rows), block_runs=most))
+        assert sorted(got) == sorted(brute_near(rows))
+
+
 def test_near_keeps_one_of_each_class(spark):
     rows = near_rows(4) + ODD
     df = docs(spark, rows, True)

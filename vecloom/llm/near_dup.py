@@ -161,18 +161,18 @@ def _bucket_edges(least: float):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(rows, "task"):
             nodes = table.column("node").to_numpy()
-            side = table.column("side").to_numpy()
+            side, crosses = table.column("side").to_numpy(), table.column("crosses").to_numpy()
             raw = table.column("sketch").combine_chunks()
             sketches = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(nodes), -1)
             need = math.ceil(least * sketches.shape[1])
             sizes = np.diff(bounds)
             two = bounds[:-1][sizes == 2]
-            two = two[(side[two] == 0) & (side[two + 1] == 0) | (side[two] != side[two + 1])]
+            two = two[~crosses[two] | (side[two] != side[two + 1])]
             ok = (sketches[two] == sketches[two + 1]).sum(axis=1) >= need
             a, b = [nodes[two[ok]]], [nodes[two[ok] + 1]]
             for start, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
                 s, half = sketches[start : start + size], side[start : start + size]
-                crossing = bool(half.any())
+                crossing = bool(crosses[start])
                 edges = list(spanning((size, lambda i, s=s, half=half, crossing=crossing: ((s == s[i]).sum(axis=1) >= need) & ((half != half[i]) if crossing else True))))
                 if edges:
                     e = np.array(edges) + start
@@ -186,13 +186,15 @@ def _bucket_edges(least: float):
 def block_pairs(rows: DataFrame, group: str, ways: str, member: str) -> DataFrame:
     """Rows dealt to tasks: a group of ``ways`` blocks has a task for each pair of blocks, itself included.
 
+    ``crosses`` tells whether a task is of two blocks, of which one may be empty;
     ``side`` is 1 in the second block of a pair, else 0.
     """
     rows = rows.withColumn("_own", F.pmod(F.xxhash64(F.lit(5), member), F.col(ways)))
     rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col(ways) - 1)))
     low, high = F.least("_own", "_with"), F.greatest("_own", "_with")
     task = F.xxhash64(group, low, high)
-    return rows.withColumn("task", task).withColumn("side", ((F.col("_own") > F.col("_with"))).cast("int")).drop("_own", "_with")
+    rows = rows.withColumn("task", task).withColumn("side", ((F.col("_own") > F.col("_with"))).cast("int"))
+    return rows.withColumn("crosses", F.col("_own") != F.col("_with")).drop("_own", "_with")
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -222,14 +224,14 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 def _verify(words: int, threshold: float):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(rows, "task"):
-            nodes, side, size, ways = (table.column(c).to_numpy() for c in ("node", "side", "size", "ways"))
+            nodes, side, crosses, size, ways = (table.column(c).to_numpy() for c in ("node", "side", "crosses", "size", "ways"))
             bodies = utf8(table.column("text").combine_chunks())
             out = {"node": [], "links": [], "near": [], "apart": []}
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 sets = [runs(x, words) for x in bodies[a:b]]
                 ok = linked(sets, threshold)
                 half, own = side[a:b], nodes[a:b]
-                if half.any():
+                if crosses[a]:
                     ok &= half[:, None] != half[None, :]
                 near = own.copy()
                 for i, j in spanning((b - a, lambda i, ok=ok: ok[i])):
@@ -262,7 +264,7 @@ def classes(
     held = scratch.put(held, "held")
     scratch.settle()
     dealt = block_pairs(held.join(nodes.select("node", "sketch").hint("merge"), "node"), "key", "ways", "node")
-    dealt = dealt.select("task", "node", "side", "sketch").repartition(parts, "task").sortWithinPartitions("task")
+    dealt = dealt.select("task", "node", "side", "crosses", "sketch").repartition(parts, "task").sortWithinPartitions("task")
     edges = scratch.put(dealt.mapInArrow(_bucket_edges(threshold - SLACK), "a long, b long").distinct(), "edges")
     scratch.settle()
     members = scratch.put(components(edges, scratch, "near"), "members")
@@ -280,7 +282,7 @@ def classes(
     own = docs.mapInArrow(name, "doc_id long, id long, text string").withColumn("rep", F.coalesce("doc_id", F.lit(-1 << 63))).drop("doc_id")
     wanted = sizes.withColumn("rep", F.coalesce("rep", F.lit(-1 << 63)))
     own = own.join(wanted.hint("merge"), ["id", "rep"]).dropDuplicates(["id", "rep"]).withColumnRenamed("id", "node")
-    dealt = block_pairs(own, "root", "ways", "node").select("task", "node", "side", "size", "ways", "text").repartition(parts, "task").sortWithinPartitions("task")
+    dealt = block_pairs(own, "root", "ways", "node").select("task", "node", "side", "crosses", "size", "ways", "text").repartition(parts, "task").sortWithinPartitions("task")
     found = scratch.put(dealt.mapInArrow(_verify(words, threshold), "node long, links long, near long, apart boolean"), "found")
     scratch.settle()
     linkage = found.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(~F.col("apart"), F.col("near"))).alias("near"))
