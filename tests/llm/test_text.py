@@ -84,6 +84,14 @@ def test_template_text_of_a_host_goes(spark):
     assert (got[91]["text"], got[92]["text"], got[93]["text"]) == ("", "", "no host")
 
 
+def test_template_text_inside_an_article_stays(spark):
+    """Headings and sentences that every page of a host has are kept between texts of its own."""
+    page = "<body><nav>n</nav><main><p>Welcome.</p><article><h2>Summary</h2><p>Dish {i}.</p><h2>Ingredients</h2><ul><li>{i} eggs</li></ul><p>Mix well.</p><p>Bake {i} minutes.</p><p>Bye.</p></article><article><p>Tip {i}</p><p>Bye.</p></article></main>"
+    rows = [(i, f"https://a.example/{i}", page.format(i=i)) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages(spark, rows).repartition(3)).collect()}
+    assert got == {i: f"Summary Dish {i}. Ingredients {i} eggs Mix well. Bake {i} minutes. Tip {i}" for i in range(20)}
+
+
 def test_html_tables(spark, sf_dir):
     def plain(page):
         m = re.search(r"<article>(.*?)</article>", page, re.S)

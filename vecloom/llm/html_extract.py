@@ -1,4 +1,4 @@
-"""Main text of web pages by equivalence-class template deduction.
+"""Main text of web pages by paths and names, less the template text found by equivalence classes.
 
 Pages of one host come from one template.  A page is a sequence of tokens: tags
 in the path that holds them, and text nodes.  A token's occurrence vector says
@@ -6,10 +6,16 @@ how often each page of the host has it; tokens with equal vectors form an
 equivalence class.  Vectors are compared by fingerprints, sums over pages of a
 hash of the page times the count, so they add up in any order, combine before
 the shuffle and never bring a host's pages together.  A class is valid when
-enough pages of the host hold it and its tokens keep their order; valid classes
-nest by their counts (a class seen once a page holds one seen many times) and
-make up the host's template.  Template text is boilerplate.  What remains are
-the template's slots; a slot is main text or not by the path it lies in.
+enough pages of the host hold it, as often on each, and its tokens keep their
+order.  Text of a valid class is template text, which is boilerplate outside
+the article's slot: the slot goes from the article's first text that is not
+template text, or a heading ahead of that, to the last, and all inside it is
+kept, a heading that every page has included.
+
+Where this is less than the method: classes are not nested into a template with
+slots for lists.  Paths and names, not the template, pick the article; the
+template only takes away text before and after its slot and, on pages without
+an article, all text that the host repeats.
 
 Path rules: an ``article`` or ``main`` (or a container named so as a whole)
 holds the main text where a page has one; menus, headers, footers, sidebars,
@@ -82,12 +88,12 @@ PLAIN_MAIN = frozenset("area body column container inner outer page primary site
 
 
 class Text:
-    """A text node: its path's key, whether paths alone make it main text, and the text."""
+    """A text node: its path's key, whether paths alone make it main text, which article of the page it is in (0 for none), and the text."""
 
-    __slots__ = ("dropped", "in_article", "link", "path", "text")
+    __slots__ = ("dropped", "heading", "in_article", "link", "path", "text")
 
-    def __init__(self, path: str, text: str, dropped: bool, in_article: bool, link: bool):
-        self.path, self.text, self.dropped, self.in_article, self.link = path, text, dropped, in_article, link
+    def __init__(self, path: str, text: str, dropped: bool, in_article: int, link: bool, heading: bool):
+        self.path, self.text, self.dropped, self.in_article, self.link, self.heading = path, text, dropped, in_article, link, heading
 
 
 BREAK = None
@@ -132,18 +138,18 @@ def parse(page: str) -> tuple[list[Text | None], list[str]]:
     """The text nodes in order, with BREAK where a block begins or ends, and the paths of all tags."""
     out: list[Text | None] = []
     tags: list[str] = []
-    # Of each open element: its tag, path, dropped by rank (2 for good, 1 by layout), in article, in a header, in a heading, in a link.
-    stack: list[tuple] = [("", "", 0, False, False, False, False)]
-    at = 0
+    # Of each open element: its tag, path, dropped by rank (2 for good, 1 by layout), number of the article, in an article tag, in a header, in a heading, in a link.
+    stack: list[tuple] = [("", "", 0, 0, False, False, False, False)]
+    at = articles = 0
 
     def text(upto: int) -> None:
         if upto > at:
             raw = page[at:upto]
             if raw.isspace():
-                out.append(Text("", " ", False, True, False))
+                out.append(Text("", " ", False, 0, False, False))
                 return
-            _, path, drop, article, header, heading, link = stack[-1]
-            out.append(Text(path, html_lib.unescape(raw) if "&" in raw else raw, drop > 0 or header and not (article and heading), article, link))
+            _, path, drop, article, _, header, heading, link = stack[-1]
+            out.append(Text(path, html_lib.unescape(raw) if "&" in raw else raw, drop > 0 or header and not (article and heading), article, link, heading))
 
     for m in TAG.finditer(page):
         if m.start() < at:
@@ -184,16 +190,20 @@ def parse(page: str) -> tuple[list[Text | None], list[str]]:
         # A whole name makes a main text: "post-content" does, "post-meta" and "main-menu" do not.
         by_name = any(whole(parts, MAIN_NAMES, PLAIN_MAIN) for _, parts in apart)
         main = tag in MAIN_TAGS or by_name and tag not in INLINE and tag not in HEADINGS and tag not in ("html", "body", "p")
-        drop, article, header = parent[2], parent[3], parent[4]
+        drop, article, tagged, header = parent[2], parent[3], parent[4], parent[5]
         if main and drop == 1:
             drop = 0
         if tag not in ("html", "body"):
-            drop = max(drop, 2 if tag in NO_TEXT else dropped_by_name(tag, apart, main, article))
+            drop = max(drop, 2 if tag in NO_TEXT else dropped_by_name(tag, apart, main, article > 0))
             if tag == "header" or tag in CONTAINERS and not main and any(whole(parts, HEADER) for kind, parts in apart if kind != "id" or not article):
                 header = True
         path = f"{parent[1]}/{tag}" + ("." + ".".join(sorted(names)) if names else "")
         tags.append(path)
-        stack.append((tag, path, drop, article or main, header and not (main and tag in MAIN_TAGS), parent[5] or tag in HEADINGS, parent[6] or tag == "a"))
+        if main and not article or tag == "article" and not tagged:
+            # The articles of a main element are articles of their own.
+            articles += 1
+            article = articles
+        stack.append((tag, path, drop, article, tagged or tag == "article", header and not (main and tag in MAIN_TAGS), parent[6] or tag in HEADINGS, parent[7] or tag == "a"))
     rest = page.find("<", at)
     text(len(page) if rest < 0 or not re.match(r"</?[a-zA-Z!?]", page[rest : rest + 3]) else rest)
     return out, tags
@@ -278,6 +288,21 @@ def deduce(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_s
     return scratch.put(text, "templates")
 
 
+def article_slots(nodes: list[Text | None], constant: frozenset[int]) -> dict[int, range]:
+    """Of each article the nodes of its slot: from its first text that is no template text, or a heading of that, to the last such text."""
+    slots: dict[int, range] = {}
+    ahead: dict[int, int] = {}
+    for i, x in enumerate(nodes):
+        if x is BREAK or not x.path or x.dropped or not x.in_article:
+            continue
+        if token("text", x.path, normal(x.text)) not in constant:
+            first = slots[x.in_article].start if x.in_article in slots else ahead.get(x.in_article, i)
+            slots[x.in_article] = range(first, i + 1)
+        elif x.heading:
+            ahead.setdefault(x.in_article, i)
+    return slots
+
+
 def main_text(page: str, constant: frozenset[int] = frozenset()) -> str:
     """The main text of a page, given the template texts of its host."""
     nodes, _ = parse(page)
@@ -288,8 +313,9 @@ def main_text(page: str, constant: frozenset[int] = frozenset()) -> str:
         for x in own:
             n = links.setdefault(x.path.rpartition("/a")[0] if x.link else x.path, [0, 0])
             n[x.link] += len(x.text)
+    slots = article_slots(nodes, constant) if constant and by_article else {}
     parts = []
-    for x in nodes:
+    for i, x in enumerate(nodes):
         if x is BREAK:
             parts.append(" ")
         elif not x.path:
@@ -297,7 +323,7 @@ def main_text(page: str, constant: frozenset[int] = frozenset()) -> str:
             parts.append(x.text if x.text.isspace() or not by_article else "")
         elif x.dropped or by_article and not x.in_article:
             continue
-        elif constant and token("text", x.path, normal(x.text)) in constant:
+        elif constant and i not in slots.get(x.in_article, ()) and token("text", x.path, normal(x.text)) in constant:
             continue
         elif x.link and not by_article and links[x.path.rpartition("/a")[0]][1] > 20 and links[x.path.rpartition("/a")[0]][0] == 0:
             continue
