@@ -1,13 +1,14 @@
-"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
+"""N-gram Jaccard join by MinHash banding, verified exactly.
 
 A document's set holds the hashes of its runs of five words (words: runs of
 anything but ASCII white space).  Equal sets are one node from the start.
 
-Forest: ``trees`` tries over MinHash labels of up to ``deepest`` values.  Sorted
-by label, documents that share a prefix lie together.  The matched prefix
-starts at full depth and is shortened until pairs at the threshold share one in
-some tree with probability ``recall`` (0.99999 of links at 0.8: 32 tries, five
-values).  Prefixes held by two nodes or more are buckets.
+Banding: ``trees`` bands of a prefix of up to ``deepest`` MinHash values.  The
+depth is fixed from the parameters: the longest at which pairs at the threshold
+share a prefix in some band with probability ``recall`` (0.99999 of links at
+0.8: 32 bands, five values).  This takes the place of a forest, whose tries
+would match and shorten prefixes on the data.  Prefixes held by two nodes or
+more are buckets.
 
 Buckets and components are worked in blocks of bounded size; a large one is
 split into pairs of blocks, so no task holds it whole and no row stands for a
