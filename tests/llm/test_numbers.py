@@ -74,6 +74,22 @@ def test_recall(spark):
     assert sum(len(got[q] & set(w)) for q, w in want.items()) / sum(map(len, want.values())) >= 0.9
 
 
+def test_recall_in_a_tight_group(spark):
+    """A third of all rows are distinct vectors far nearer to one another than half precision tells apart."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((1200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:400] = x[0] + 3e-4 * r.standard_normal((400, 64))
+    rows = list(enumerate(x.astype("f4").tolist()))
+    want = brute_nearest(rows, lambda i: i % 20 == 0 and i < 400, 5)
+    got = defaultdict(set)
+    for q, _, v, _ in rows_of(ann.nearest(vectors(spark, rows), (F.col("vec_id") % 20 == 0) & (F.col("vec_id") < 400))):
+        got[q].add(v)
+    recall = sum(len(got[q] & set(w)) for q, w in want.items()) / sum(map(len, want.values()))
+    print("recall in a tight group", recall)
+    assert recall >= 0.95
+
+
 # ---- mixing ---------------------------------------------------------------
 
 
