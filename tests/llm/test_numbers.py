@@ -190,6 +190,25 @@ def test_ids_are_the_tokenizers(text):
         assert _WORDS.encode([t])[0].tolist() == _WORDS.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_all_letters_that_leave_the_range():
+    """Every letter whose lower case lies elsewhere, alone, in words and before combining marks; then random text over them."""
+    own = packing.WordIds(packing.tokenizer_path())
+    odd = [c for c in map(chr, range(0x3000)) if any(ord(x) >= own.LIMIT for x in c.lower()) or len(c.lower()) > 1 or len(c.upper()) > 1] + ["İ", "Ⱥ", "Ⱦ"]
+    r, low = random.Random(9), [chr(c) for c in range(own.LIMIT)]
+    batch = [f"a{c}b {c} {c}\u0331{c}\u0349" for c in odd] + ["aȺ b", "ȾELȺ", "Ⱦ\u0349", "İ\u0331Ɔ", ""]
+    batch += ["".join(r.choice(odd if r.random() < 0.2 else low) for _ in range(r.randrange(12))) for _ in range(20_000)]
+    for i in range(0, len(batch), 2000):
+        want = own.tokenizer.encode_batch(batch[i : i + 2000], add_special_tokens=False)
+        assert [x.tolist() for x in own.encode(batch[i : i + 2000])] == [x.ids for x in want]
+
+
+def test_words_unlike_the_tokenizers_go_through_it(monkeypatch):
+    own = packing.WordIds(packing.tokenizer_path())
+    monkeypatch.setattr(own, "words", lambda text: [text])
+    texts = ["two words", "one, two"]
+    assert [x.tolist() for x in own.encode(texts)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_are_forgotten(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 50)
     own = packing.WordIds(packing.tokenizer_path())

@@ -10,11 +10,15 @@ they run in parallel and none grows with the data.
 
 Ids come from the tokenizer itself.  For Latin text the tokenizer's own
 pre-tokenisation is repeated here and each distinct word is encoded once and
-remembered; any text outside that range, not in normal form or with a special
-token's string goes through the tokenizer whole.
+remembered; any text outside that range, itself or in lower case, not in normal
+form or with a special token's string goes through the tokenizer whole, and so
+do all texts of a batch whose words turn out not to be the tokenizer's.
 
 Defined results: null text is an empty text, whose only id is the closing id.
-Repeated rows are packed each on their own.  An empty table gives no pieces.
+Repeated rows are packed each on their own, ties in length in the order of rows.
+An empty table gives no pieces.  A very long text is encoded whole by one task,
+in memory of a small multiple of its size, and cut into sequences.  Only doc_id
+and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -86,33 +90,43 @@ class WordIds:
         self.at = Places()
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words in lines of many; every word's last id, and no other, is one that ends a word."""
+    def learn(self, words: list[str]) -> bool:
+        """Encodes words in lines of many; every word's last id, and no other, is one that ends a word. False where that does not hold."""
         lines = [" ".join(words[i : i + 1024]) for i in range(0, len(words), 1024)]
         ids = np.concatenate([np.array(x.ids, np.uint32) for i in range(0, len(lines), 8) for x in self.tokenizer.encode_batch_fast(lines[i : i + 8], add_special_tokens=False)])
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         lengths = np.diff(ends, prepend=0)
         if len(lengths) != len(words) or ends[-1] != len(ids):
-            raise ValueError("the tokenizer's words are not those of the pre-tokenisation")
+            return False
         self.starts = np.concatenate([self.starts, len(self.flat) + ends - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, ids])
+        return True
 
-    def plain(self, text: str) -> bool:
-        return (text.isascii() or (not self.beyond(text) and unicodedata.is_normalized("NFC", text))) and not any(x in text for x in self.special)
+    def lowered(self, text: str) -> str | None:
+        """The text as the tokenizer lower-cases it, where this class can split it: a small letter may lie outside the range or normal form that its capital is in."""
+        low = text.lower()
+        plain = text.isascii() or not self.beyond(text) and not self.beyond(low) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+        return low if plain and not any(x in text for x in self.special) else None
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.at) > REMEMBERED:
             self.forget()
         place = self.at.__getitem__
-        split = [list(map(place, self.words(x.lower()))) if self.plain(x) else None for x in batch]
+        split = [None if (low := self.lowered(x)) is None else list(map(place, self.words(low))) for x in batch]
         if self.at.new:
-            self.learn(self.at.new)
+            known = self.learn(self.at.new)
             self.at.new = []
+            if not known:  # the split is not the tokenizer's: it encodes the texts itself
+                self.forget()
+                return [self.whole(x) for x in batch]
         out = []
         for text, words in zip(batch, split, strict=True):
             if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                out.append(self.whole(text))
                 continue
             k = np.array(words, np.int64)
             lengths = self.lengths[k]
