@@ -90,6 +90,28 @@ def test_recall_in_a_tight_group(spark):
     assert recall >= 0.95
 
 
+@pytest.mark.parametrize("noise", [1e-3, 1e-2])
+def test_recall_among_clusters(spark, noise):
+    """Forty tight clusters; every query's neighbours lie in its own."""
+    r = np.random.default_rng(5)
+    x = np.repeat(r.standard_normal((40, 64)) / 8, 50, axis=0) + noise * r.standard_normal((2000, 64))
+    rows = list(enumerate(x.astype("f4").tolist()))
+    want = brute_nearest(rows, lambda i: i % 50 == 0, 5)
+    got = defaultdict(set)
+    for q, _, v, _ in rows_of(ann.nearest(vectors(spark, rows), F.col("vec_id") % 50 == 0)):
+        got[q].add(v)
+    assert sum(len(got[q] & set(w)) for q, w in want.items()) / sum(map(len, want.values())) >= 0.95
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each length has its own answers."""
+    rows = [(i, [1.0, i + 1.0]) for i in range(4)] + [(50 + i, [1.0, 0.5, i + 1.0]) for i in range(3)] + [(100, [1.0])]
+    got = defaultdict(list)
+    for q, _, v, _ in sorted(rows_of(ann.nearest(vectors(spark, rows), F.lit(True)))):
+        got[q].append(v)
+    assert got[0] == [1, 2, 3] and got[50] == [51, 52] and 100 not in got
+
+
 # ---- mixing ---------------------------------------------------------------
 
 

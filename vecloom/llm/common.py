@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import copy
 import gc
 import tempfile
 import uuid
@@ -57,6 +58,12 @@ class Scratch:
         self.spark, self.base, self.compression = spark, f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}", compression
         _MADE.append((spark, self.base))
 
+    def within(self, name: str) -> Scratch:
+        """The same folder's subfolder ``name``."""
+        out = copy.copy(self)
+        out.base = f"{self.base}/{name}"
+        return out
+
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a table of its own; the shuffle files that made it go at once, for nothing reads them again."""
         path, conf = f"{self.base}/{name}", self.spark.conf
