@@ -1,21 +1,28 @@
-"""N-gram Jaccard join by MinHash banding, verified exactly.
+"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
 
 A document's set holds the hashes of its runs of five words (words: runs of
-anything but ASCII white space).  Equal sets are one node from the start.
-
-Banding: ``trees`` bands of a prefix of up to ``deepest`` MinHash values.  The
-depth is fixed from the parameters: the longest at which pairs at the threshold
-share a prefix in some band with probability ``recall`` (0.99999 of links at
-0.8: 32 bands, five values).  This takes the place of a forest, whose tries
-would match and shorten prefixes on the data.  Prefixes held by two nodes or
-more are buckets.
-
-Buckets and components are worked in blocks of bounded size; a large one is
-split into pairs of blocks, so no task holds it whole and no row stands for a
-pair.  In a bucket, MinHash estimates (192 values, far below the threshold:
-``slack``) keep the edges of a spanning forest; their components are where
-links can be.  In a component all pairs are compared on their whole sets, and
-only link counts and a spanning forest of true links leave the task.
+anything but ASCII white space).  Equal sets are one node from the start, named
+by 128 bits.
+
+Forest: each of ``trees`` tries orders the nodes by a label of MinHash values,
+its own ``deepest`` ones first, then those of the trees after it.  Nodes are
+dealt by the first values of their labels that all must share (``floor``) and
+sorted by the whole label; the common prefixes of neighbours in that order are
+the branches of the trie.  Matching starts at the longest common prefixes and
+shortens them branch by branch: at each, only nodes that longer prefixes left
+apart are compared, so a crowd of near copies is settled far down.  A document
+stops where the tries have found a partner with probability ``recall``: the
+least similarity at or above the threshold that any other set can have with one
+of its size gives that length, so a set of six runs stops earlier than one of
+five, and sets of up to three runs, which can have no partner but an equal one,
+never enter.  MinHash estimates (192 values, far below the threshold: ``slack``)
+say which matches become edges of a spanning forest.
+
+Crowded prefixes and components are worked in blocks of bounded size; a large
+one is split into pairs of blocks, so no task holds it whole and no row stands
+for a pair.  In a component all pairs are compared on their whole sets in
+integers, and only link counts and a spanning forest of true links leave the
+task.
 
 Result: one row a document with its class (documents joined by links, named by
 the smallest doc_id) and how many documents it is linked to at ``threshold`` or
@@ -24,20 +31,24 @@ more; equal sets count as links and are never expanded into pairs.
 Defined results: fewer than five words form one run of all words.  Null, empty
 and white-space texts have no set: each is a class of its own without links.
 Rows with equal texts and ids count each on their own; a null doc_id is a class
-name only where no other is in the class.
+name only where no other is in the class.  An empty table gives no rows.  A very
+long text is one set, compared whole.  Only doc_id and text are read;
+``deduplicate`` passes all other columns on, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, boxed, mix64, parallelism, read, utf8, whole_groups
+from .common import BROADCAST_ROWS, Scratch, bound_batches, boxed, mix64, parallelism, read, utf8, whole_groups
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -91,12 +102,14 @@ def runs(data: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(mix64(out + U(k)))
 
 
-def node_of(found: np.ndarray) -> int:
-    """A name for a set: equal sets have equal names."""
+def node_of(found: np.ndarray) -> bytes:
+    """A name of 128 bits for a set: equal sets have equal names."""
     if not len(found):
-        return 0
-    total = np.array([found.sum(dtype=np.uint64), np.bitwise_xor.reduce(found), len(found)], np.uint64)
-    return int((mix64(total) * _FACTORS[40:43]).sum(dtype=np.uint64).astype(np.int64)) or 1
+        return b""
+    other = mix64(found + _FACTORS[60])
+    return b"".join(
+        int((mix64(np.array([h.sum(dtype=np.uint64), np.bitwise_xor.reduce(h), len(h)], np.uint64)) * _FACTORS[k : k + 3]).sum(dtype=np.uint64)).to_bytes(8, "little") for h, k in ((found, 40), (other, 50))
+    )
 
 
 def minhash(found: np.ndarray, size: int) -> np.ndarray:
@@ -115,8 +128,34 @@ def depth_for(trees: int, deepest: int, threshold: float, recall: float) -> int:
     return 1
 
 
-def labels(signature: np.ndarray, trees: int, deepest: int, depth: int) -> np.ndarray:
-    """The prefix of each tree's label, with the tree in it."""
+@lru_cache
+def least_similarity(size: int, threshold: float) -> float:
+    """The least Jaccard similarity from ``threshold`` up that a different set can have with one of ``size``; 1 where there is none.
+
+    A partner that shares ``i`` runs and differs in ``d`` has i / (i + d), with
+    i from ``size - d`` to ``size``.
+    """
+    exact, best = Fraction(threshold).limit_denominator(10**6), Fraction(1)
+    for d in range(1, int(size * (1 - exact) / exact) + 1):
+        i = max(size - d, math.ceil(exact * d / (1 - exact)))
+        if 0 < i <= size:
+            best = min(best, Fraction(i, i + d))
+    return float(best)
+
+
+#: Sets above this size can be as little as a thousandth above the threshold: they stop where the threshold does.
+SMALL_SET = 256
+
+
+@lru_cache
+def stops(trees: int, deepest: int, threshold: float, recall: float) -> np.ndarray:
+    """By size of set, up to SMALL_SET, the length of prefix at which matching stops; above ``deepest`` where no partner can exist."""
+    least = [1.0] + [least_similarity(n, threshold) for n in range(1, SMALL_SET)] + [threshold]
+    return np.array([deepest + 1 if s == 1 else depth_for(trees, deepest, s, recall) for s in least])
+
+
+def prefixes(signature: np.ndarray, trees: int, deepest: int, depth: int) -> np.ndarray:
+    """The first ``depth`` values of each tree's label as one number, with the tree in it."""
     rows = signature.reshape(trees, deepest)[:, :depth].astype(np.uint64)
     key = np.arange(1, trees + 1, dtype=np.uint64)
     for d in range(depth):
@@ -124,18 +163,22 @@ def labels(signature: np.ndarray, trees: int, deepest: int, depth: int) -> np.nd
     return key
 
 
-def _sign(words: int, trees: int, deepest: int, depth: int):
+def _sign(words: int, trees: int, deepest: int, depth: int, stop: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, keys, sketch = [], [], [], []
+            name, n, keys, sketch = [], [], [], []
             for body in utf8(batch.column(1)):
                 found = runs(body, words)
-                node.append(node_of(found))
+                name.append(node_of(found))
                 n.append(len(found))
+                if stop[min(len(found), SMALL_SET)] > deepest:
+                    keys.append(np.zeros(0, np.int64))
+                    sketch.append(b"")
+                    continue
                 signature = minhash(found, trees * deepest)
-                keys.append(labels(signature, trees, deepest, depth).view(np.int64) if len(found) else np.zeros(0, np.int64))
+                keys.append(prefixes(signature, trees, deepest, depth).view(np.int64))
                 sketch.append((signature >> np.uint32(24)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": pa.array(node, pa.int64()), "n_runs": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "name": pa.array(name, pa.binary()), "n_runs": pa.array(n, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())})
 
     return run
 
@@ -156,25 +199,70 @@ def spanning(linked) -> Iterator[tuple[int, int]]:
                 yield i, j
 
 
-def _bucket_edges(least: float):
-    """Edges between nodes of a block, or between the two blocks of a pair, whose estimates pass."""
+def climb(label: np.ndarray, stop: np.ndarray, floor: int, similar) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the nodes of a subtrie.
+
+    ``label`` holds the nodes' labels, equal in the first ``floor`` values.
+    Prefixes shorten from the longest that two neighbours share; at each branch
+    the nodes that have not stopped are compared with those not joined to them
+    yet.  ``similar(i, others)`` says which of ``others`` match node ``i``.
+    """
+    n = len(label)
+    order = np.lexsort(label.T[::-1])
+    sorted_label = label[order]
+    same = sorted_label[1:] == sorted_label[:-1]
+    common = np.where(same.all(axis=1), label.shape[1], same.argmin(axis=1))
+    part, edges = np.arange(n), []
+    for depth in np.unique(np.maximum(common, floor))[::-1].tolist():
+        cut = np.flatnonzero(np.concatenate([[True], common < depth, [True]]))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            # Children of this branch: what longer prefixes hold together has been compared.
+            child = np.concatenate([[0], np.cumsum(common[a : b - 1] <= depth)])
+            if not child[-1]:
+                continue
+            inside = order[a:b]
+            open_ = stop[inside] <= depth
+            inside, child = inside[open_], child[open_]
+            for k, i in enumerate(inside.tolist()):
+                after = int(np.searchsorted(child, child[k], "right"))
+                others = inside[after:][part[inside[after:]] != part[i]]
+                for j in others[similar(i, others)].tolist() if len(others) else ():
+                    if part[j] != part[i]:
+                        edges.append((i, j))
+                        part[part == part[j]] = part[i]
+    return edges
+
+
+def _forest_edges(least: float, deepest: int, floor: int, stop: np.ndarray):
+    """Edges between nodes of a subtrie, or between the two blocks of a pair, whose estimates pass."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(rows, "task"):
-            nodes = table.column("node").to_numpy()
-            side, crosses = table.column("side").to_numpy(), table.column("crosses").to_numpy()
+            nodes, tree, side, crosses = (table.column(c).to_numpy() for c in ("node", "tree", "side", "crosses"))
+            ends = stop[np.minimum(table.column("n_runs").to_numpy(), SMALL_SET)]
             raw = table.column("sketch").combine_chunks()
             sketches = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(nodes), -1)
             need = math.ceil(least * sketches.shape[1])
             sizes = np.diff(bounds)
             two = bounds[:-1][sizes == 2]
             two = two[~crosses[two] | (side[two] != side[two + 1])]
+            # The tree's own values beyond the floor, as far as both need them.
+            own = tree[two, None] * deepest + np.arange(floor, deepest)
             ok = (sketches[two] == sketches[two + 1]).sum(axis=1) >= need
+            late = np.maximum(ends[two], ends[two + 1])
+            alike = sketches[two[:, None], own] == sketches[two[:, None] + 1, own]
+            ok &= (alike | (np.arange(floor, deepest) >= late[:, None])).all(axis=1)
             a, b = [nodes[two[ok]]], [nodes[two[ok] + 1]]
-            for start, size in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
-                s, half = sketches[start : start + size], side[start : start + size]
-                crossing = bool(crosses[start])
-                edges = list(spanning((size, lambda i, s=s, half=half, crossing=crossing: ((s == s[i]).sum(axis=1) >= need) & ((half != half[i]) if crossing else True))))
+            for start, size in zip(bounds[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                s, half, crossing = sketches[start : start + size], side[start : start + size], bool(crosses[start])
+                # A label: the tree's own values, then those of the trees after it.
+                label = np.roll(s, -int(tree[start]) * deepest, axis=1)
+
+                def similar(i: int, others: np.ndarray, s=s, half=half, crossing=crossing) -> np.ndarray:
+                    ok = (s[others] == s[i]).sum(axis=1) >= need
+                    return ok & (half[others] != half[i]) if crossing else ok
+
+                edges = climb(label, ends[start : start + size], floor, similar)
                 if edges:
                     e = np.array(edges) + start
                     a.append(nodes[e[:, 0]])
@@ -209,15 +297,16 @@ def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     counts = np.bincount(column)
     shared = counts[column] > 1
     owner, column = owner[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
-    inter = np.zeros((n, n), np.float32)
+    inter = np.zeros((n, n), np.int64)
     width = max(256, min(8192, (8 << 20) // max(1, n)))
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [at, at + width])
         m = np.zeros((n, width), np.float32)
         m[owner[a:b], column[a:b] - at] = 1
-        inter += m @ m.T
+        inter += (m @ m.T).astype(np.int64)  # at most ``width``, exact in single precision
     union = sizes[:, None] + sizes[None, :] - inter
-    out = inter >= threshold * union - 1e-6 * union
+    exact = Fraction(threshold).limit_denominator(10**6)
+    out = inter * exact.denominator >= union * exact.numerator
     np.fill_diagonal(out, False)
     return out
 
@@ -253,23 +342,24 @@ def classes(
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, n_links, n_runs."""
     spark = docs.sparkSession
     bound_batches(spark, "8m")
-    scratch, parts, depth = Scratch(spark, "near"), parallelism(spark), depth_for(trees, deepest, threshold, recall)
+    scratch, parts, floor = Scratch(spark, "near"), parallelism(spark), depth_for(trees, deepest, threshold, recall)
+    stop = stops(trees, deepest, threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.put(docs.mapInArrow(_sign(words, trees, deepest, depth), "doc_id long, node long, n_runs long, keys array<long>, sketch binary"), "signed")
-    nodes = signed.where("n_runs > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n_runs").alias("n_runs"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    nodes = scratch.put(nodes, "nodes")
-    # Buckets: prefixes that two nodes or more share, in blocks.
-    held = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = scratch.put(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    held = held.join(buckets.hint("merge"), "key").select("key", "node", F.ceil(F.col("n") / block_nodes).alias("ways"))
+    signed = scratch.put(docs.mapInArrow(_sign(words, trees, deepest, floor, stop), "doc_id long, name binary, n_runs long, keys array<long>, sketch binary"), "signed")
+    nodes = signed.where("n_runs > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n_runs").alias("n_runs"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = scratch.put(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Prefixes that two nodes or more share: subtries, in blocks.
+    held = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
+    shared = scratch.put(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    held = held.join(shared.hint("merge"), "key").select("key", "tree", "node", F.ceil(F.col("n") / block_nodes).alias("ways"))
     held = scratch.put(held, "held")
     scratch.settle()
-    dealt = block_pairs(held.join(nodes.select("node", "sketch").hint("merge"), "node"), "key", "ways", "node")
-    dealt = dealt.select("task", "node", "side", "crosses", "sketch").repartition(parts, "task").sortWithinPartitions("task")
-    edges = scratch.put(dealt.mapInArrow(_bucket_edges(threshold - SLACK), "a long, b long").distinct(), "edges")
+    dealt = block_pairs(held.join(nodes.select("node", "n_runs", "sketch").hint("merge"), "node"), "key", "ways", "node")
+    dealt = dealt.select("task", "node", "tree", "n_runs", "side", "crosses", "sketch").repartition(parts, "task").sortWithinPartitions("task")
+    edges = scratch.put(dealt.mapInArrow(_forest_edges(threshold - SLACK, deepest, floor, stop), "a long, b long").distinct(), "edges")
     scratch.settle()
     members = scratch.put(components(edges, scratch, "near"), "members")
-    sizes = members.join(nodes.select(F.col("node").alias("id"), "rep", "size", "n_runs").hint("merge"), "id")
+    sizes = members.join(nodes.select(F.col("node").alias("id"), "name", "rep", "size", "n_runs").hint("merge"), "id")
     sizes = scratch.put(sizes, "sizes")
     ways = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_runs") / block_runs)).alias("ways"))
     sizes = scratch.put(sizes.join(scratch.put(ways, "ways").hint("merge"), "root"), "placed")
@@ -277,12 +367,14 @@ def classes(
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [node_of(runs(x, words)) for x in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "id": pa.array(found, pa.int64()), "text": batch.column(1)})
-
-    # Of each node in a component one text: that of its smallest doc_id.
-    own = docs.mapInArrow(name, "doc_id long, id long, text string").withColumn("rep", F.coalesce("doc_id", F.lit(-1 << 63))).drop("doc_id")
-    wanted = sizes.withColumn("rep", F.coalesce("rep", F.lit(-1 << 63)))
-    own = own.join(wanted.hint("merge"), ["id", "rep"]).dropDuplicates(["id", "rep"]).withColumnRenamed("id", "node")
+            yield pa.RecordBatch.from_pydict({"rep": batch.column(0), "name": pa.array(found, pa.binary()), "text": batch.column(1)})
+
+    # Of each node in a component one text: that of its smallest doc_id. Texts of other ids are not looked at again.
+    wanted = sizes.withColumn("rep", F.coalesce("rep", F.lit(-1 << 63))).withColumnRenamed("id", "node").drop("n_runs")
+    reps = scratch.put(wanted.select("rep").distinct(), "reps")
+    few = reps.count() <= BROADCAST_ROWS
+    own = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("rep"), "text").join(F.broadcast(reps) if few else reps.hint("merge"), "rep", "left_semi")
+    own = own.mapInArrow(name, "rep long, name binary, text string").dropDuplicates(["name", "rep"]).join(wanted.hint("merge"), ["name", "rep"])
     dealt = block_pairs(own, "root", "ways", "node").select("task", "node", "side", "crosses", "size", "ways", "text").repartition(parts, "task").sortWithinPartitions("task")
     found = scratch.put(dealt.mapInArrow(_verify(words, threshold), "node long, links long, near long, apart boolean"), "found")
     scratch.settle()
@@ -291,11 +383,11 @@ def classes(
     if apart.limit(1).count():
         joined = components(apart, scratch, "apart").select(F.col("id").alias("node"), F.col("root").alias("across"))
         linkage = linkage.join(scratch.put(joined, "across").hint("merge"), "node", "left").withColumn("near", F.coalesce("across", "near")).drop("across")
-    full = nodes.select("node", "rep", "size").join(scratch.put(linkage, "linkage").hint("merge"), "node", "left")
-    full = scratch.put(full.select("node", "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("near", "node").alias("near")), "full")
+    full = nodes.select("node", "name", "rep", "size").join(scratch.put(linkage, "linkage").hint("merge"), "node", "left")
+    full = scratch.put(full.select("node", "name", "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("near", "node").alias("near")), "full")
     named = scratch.put(full.groupBy("near").agg(F.min("rep").alias("class_id")), "named")
-    full = scratch.put(full.join(named.hint("merge"), "near").select("node", "n_links", "class_id"), "classes")
-    out = signed.select("doc_id", "node", "n_runs").where("n_runs > 0").join(full.hint("merge"), "node")
+    full = scratch.put(full.join(named.hint("merge"), "near").select("name", "n_links", "class_id"), "classes")
+    out = signed.select("doc_id", "name", "n_runs").where("n_runs > 0").join(full.hint("merge"), "name")
     alone = signed.where("n_runs = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_runs")
     return out.select("doc_id", "class_id", "n_links", "n_runs").unionByName(alone)
 
