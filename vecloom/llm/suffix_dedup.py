@@ -3,33 +3,39 @@
 Every byte covered by a string of ``length`` bytes that also starts in a
 document with a smaller doc_id goes.
 
-Buckets: suffixes start in buckets by their first 8 bytes.  A bucket name of
-depth a+b is made from the name at depth a and the name, b bytes on, of the
-bucket there; deeper names reuse the ones below them (8, 16, 24 ... ``length``).
-Two suffixes share their first bytes exactly where their names are equal.
-
 Which suffixes: among the names of depth ``QGRAM`` inside each string of
 ``length`` bytes the least one (the last of equals) owns the string.  Equal
 strings have equal owners, so comparing owners finds every repeated string
-while only one suffix in about fifteen is kept.
+while only one suffix in about fifteen is kept.  These names are hashes of 64
+bits; two grams of one name cost work, never an answer.
+
+Buckets (``Refined``): inside a batch, suffixes start in buckets by their first
+8 bytes, sorted.  A bucket is refined by sorting its suffixes on the bucket
+identifiers of the suffixes some bytes on; the refined identifiers are the ones
+that the next refinement reads, at 16, 32 ... ``length`` bytes.  Suffixes share a
+bucket exactly where their first ``length`` bytes are equal.
 
 Rounds: documents are dealt into batches of about ``batch_bytes``.  A batch
-tells each name only once, whatever its number of copies inside, so a string
+tells each bucket only once, whatever its number of copies inside, so a string
 that a third of all documents hold costs one row a batch, never a row a copy.
-Bucket tasks sort what the batches send and answer each batch.
+Between batches a bucket goes by a name of 128 bits.  Tasks sort what the batches
+send by these names and answer each batch.
 
 1. owner names: which occur in more than one batch;
 2. of those, the names of all text around an owner (the strings it owns, taken
    together): the smallest doc_id of each; and whether an owner has several;
-3. where an owner has several, the names of its single strings, told once for
-   each different surrounding: the smallest doc_id of each.
+3. where an owner has several, the buckets of its single strings, refined, told
+   once for each different surrounding: the smallest doc_id of each.
 
-Then each batch marks and cuts its own documents.  Names have 64 bits, their
-chance of two different strings meeting is 2**-64 a pair compared.
+Then each batch marks and cuts its own documents.  Tasks of a round number as
+many as the batches ask for, not as a setting says, so a task's share stays the
+same at any size; messages number at most batches times buckets.
 
 Defined results: null text is empty.  Null doc_id comes after all others.  Rows
 with one doc_id are one document to each other: neither removes the other's
-bytes.  Texts shorter than ``length`` are kept whole.
+bytes.  Texts shorter than ``length`` are kept whole.  A very long text is a
+batch of its own; names are made over slabs of it, so only the text and what it
+repeats are held.  An empty table gives no rows.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -47,8 +53,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, bound_batches, mix64, parallelism, read, utf8, whole_groups
 
 LENGTH, QGRAM = 50, 20
-BATCH_BYTES = BUCKET_BYTES = 8 << 20
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 SLAB_BYTES = 1 << 18
+#: Batches to a task.
+TOGETHER = 4
+#: The other half of a name.
+OTHER = np.uint64(0xA0761D6478BD642F)
 NO_ID = (1 << 63) - 1
 U = np.uint64
 
@@ -72,14 +82,52 @@ def names(word: np.ndarray, depth: int) -> np.ndarray:
     return name
 
 
-def names_of(word: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Bucket names at ``depth`` bytes of some suffixes: refined by the buckets at every eighth byte."""
-    name = mix64(word[starts])
+def names_of(word: np.ndarray, starts: np.ndarray, depth: int, salt: np.uint64 = U(0)) -> np.ndarray:
+    """Names of the first ``depth`` bytes of some suffixes, from the bytes at every eighth offset; another ``salt`` gives another name."""
+    name = mix64(word[starts] ^ salt)
     for offset in [*range(8, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
         name = pair(name, word[starts + offset])
     return name
 
 
+def ranked(keys: np.ndarray) -> np.ndarray:
+    """Bucket identifiers: the place of each key among the distinct keys in order."""
+    order = np.argsort(keys)
+    k = keys[order]
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.cumsum(np.concatenate([np.zeros(min(1, len(k)), bool), k[1:] != k[:-1]]), dtype=np.uint64)
+    return out
+
+
+def inside(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """The places below ``size`` that lie in some interval, ends included, in order."""
+    marks = np.zeros(size + 1, np.int32)
+    np.add.at(marks, first, 1)
+    np.add.at(marks, last + 1, -1)
+    return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+
+
+class Refined:
+    """Buckets of the suffixes that start in intervals [first, last], equal in their first ``depth`` bytes; by sorting."""
+
+    def __init__(self, word: np.ndarray, first: np.ndarray, last: np.ndarray, depth: int):
+        # Refinement looks ahead: at eight bytes' depth it needs the buckets of suffixes further on, too.
+        self.places, at = inside(first, last + depth - 8, len(word)), 8
+        self.ids = ranked(word[self.places])
+        where = np.zeros(len(word), np.int32)
+        while at < depth:
+            step = min(at, depth - at)
+            where[self.places] = np.arange(len(self.places), dtype=np.int32)
+            places = inside(first, last + depth - at - step, len(word))
+            own, later = self.ids[where[places]], self.ids[where[places + step]]
+            self.places, self.ids, at = places, ranked((own << U(32)) | later), at + step
+        self.where = where
+        self.where[self.places] = np.arange(len(self.places), dtype=np.int32)
+
+    def of(self, starts: np.ndarray) -> np.ndarray:
+        return self.ids[self.where[starts]].astype(np.int64)
+
+
 def sliding(values: np.ndarray, width: int, least: Callable) -> np.ndarray:
     k = 1
     while k * 2 <= width:
@@ -89,25 +137,24 @@ def sliding(values: np.ndarray, width: int, least: Callable) -> np.ndarray:
 
 
 def owners(data: bytes, offsets: np.ndarray, length: int, qgram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the suffixes that own a string, and their names at depth ``qgram``."""
-    width, i, found = length - qgram + 1, 0, []
-    while i < len(offsets) - 1:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLAB_BYTES, "right")) - 1)
-        begin, end = int(offsets[i]), int(offsets[j])
-        if end - begin >= length:
-            name = names(words_at(data[begin:end]), qgram)
-            # Strings that run over a document's end own nothing.
-            ok = np.ones(end - begin + 1, bool)
-            for e in (offsets[i + 1 : j + 1] - begin).tolist():
-                ok[max(0, e - length + 1) : e] = False
-            low = np.where(ok[: end - begin - length + 1], sliding(name, width, np.minimum), U(0))
-            edge = np.zeros(width - 1, np.uint64)
-            at = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), width, np.maximum) == name)
-            found.append((at + begin, name[at]))
-        i = j
+    """Positions of the suffixes that own a string, and their names at depth ``qgram``; slab by slab, whatever the documents' lengths."""
+    width, found, ends = length - qgram + 1, [], offsets[1:]
+    for begin in range(0, len(data) - length + 1, SLAB_BYTES):
+        end = min(len(data), begin + SLAB_BYTES + length - 1)
+        name = names(words_at(data[begin:end]), qgram)
+        # Strings that run over a document's end own nothing.
+        ok = np.ones(end - begin - length + 1, bool)
+        for e in (ends[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, end, "left")] - begin).tolist():
+            ok[max(0, e - length + 1) : e] = False
+        low = np.where(ok, sliding(name, width, np.minimum), U(0))
+        edge = np.zeros(width - 1, np.uint64)
+        at = np.flatnonzero(sliding(np.concatenate([edge, low, edge]), width, np.maximum) == name)
+        found.append((at + begin, name[at]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    at, name = (np.concatenate(x) for x in zip(*found, strict=True))
+    at, once = np.unique(at, return_index=True)  # next to a slab's end both slabs find one
+    return at, name[once]
 
 
 def least_by(keys: np.ndarray, *columns: tuple[Callable, np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -118,6 +165,20 @@ def least_by(keys: np.ndarray, *columns: tuple[Callable, np.ndarray]) -> tuple[n
     return (k[at], *(f.reduceat(c[order], at) if len(k) else c for f, c in columns))
 
 
+def grouped(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of numbers: an order by them, where in it each distinct pair begins, and the place among the distinct ones of each pair."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
+
+
+def least_of(order: np.ndarray, begins: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(values[order], begins) if len(order) else values[:0]
+
+
 def look_up(keys: np.ndarray, sorted_keys: np.ndarray, values: np.ndarray, default) -> np.ndarray:
     if not len(sorted_keys):
         return np.full(len(keys), default, values.dtype)
@@ -130,12 +191,19 @@ MESSAGE = "kind string, bucket long, batch long, blob binary"
 MESSAGE_SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("batch", pa.int64()), ("blob", pa.binary())])
 
 
+def shares(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted ``keys``, for the buckets that have any."""
+    ends = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    at = np.searchsorted(ends, keys, "right")
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(at[i]), i, j
+
+
 def deal(kind: str, batch: int, buckets: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[str, int, int, bytes]]:
     """Messages of sorted ``keys``, cut where the bucket changes."""
-    cut = np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
-    for b, (i, j) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True)):
-        if i < j:
-            yield kind, b, batch, b"".join(c[i:j].tobytes() for c in (keys, *columns))
+    for b, i, j in shares(keys, buckets):
+        yield kind, b, batch, b"".join(c[i:j].tobytes() for c in (keys, *columns))
 
 
 def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
@@ -144,8 +212,8 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
 
 
 def answer(kind: str, blobs: list[bytes]) -> list[bytes]:
-    """What a bucket answers to each batch: bits for names (n: in several batches, m: several surroundings), ids for a and s."""
-    parts = [unpack(b, {"n": 1, "m": 3, "a": 2, "s": 2}[kind]) for b in blobs]
+    """What a bucket answers to each batch: bits for names (n: in several batches, m: several surroundings), ids for a and s, whose names have two halves."""
+    parts = [unpack(b, {"n": 1, "m": 3, "a": 3, "s": 3}[kind]) for b in blobs]
     keys = np.concatenate([p[0] for p in parts])
     if kind == "n":
         known, count = least_by(keys, (np.add, np.ones(len(keys), np.int64)))
@@ -154,8 +222,10 @@ def answer(kind: str, blobs: list[bytes]) -> list[bytes]:
         low, high = (np.concatenate([p[c] for p in parts]) for c in (1, 2))
         known, low, high = least_by(keys, (np.minimum, low), (np.maximum, high))
         return [np.packbits(look_up(p[0], known, low != high, False)).tobytes() for p in parts]
-    known, ids = least_by(keys, (np.minimum, np.concatenate([p[1] for p in parts])))
-    return [look_up(p[0], known, ids, NO_ID).tobytes() for p in parts]
+    order, begins, place = grouped(keys, np.concatenate([p[1] for p in parts]))
+    ids = least_of(order, begins, np.concatenate([p[2] for p in parts]))[place]
+    cut = np.cumsum([len(p[0]) for p in parts])[:-1]
+    return [x.tobytes() for x in np.split(ids, cut)]
 
 
 class Batch:
@@ -179,11 +249,9 @@ class Batch:
         self.shared = np.minimum.reduceat(docs_of, starts) != np.maximum.reduceat(docs_of, starts) if len(k) else np.zeros(0, bool)
 
     def bits(self, kind: str, keys: np.ndarray) -> np.ndarray:
-        cut = np.searchsorted(keys, np.array([(b << 64) // self.buckets for b in range(1, self.buckets)], np.uint64))
         out = np.zeros(len(keys), bool)
-        for b, (i, j) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True)):
-            if i < j:
-                out[i:j] = np.unpackbits(np.frombuffer(self.answers[kind][b], np.uint8), count=j - i).astype(bool)
+        for b, i, j in shares(keys, self.buckets):
+            out[i:j] = np.unpackbits(np.frombuffer(self.answers[kind][b], np.uint8), count=j - i).astype(bool)
         return out
 
     def ids(self, kind: str) -> np.ndarray:
@@ -216,8 +284,15 @@ class Batch:
         some = first <= end  # of equal names close together an early one may own nothing
         chosen, where, first, end = chosen[some], where[some], first[some], end[some]
         self.first, self.end, self.doc, self.own_group = first, end, self.docs[text[chosen]], self.group[chosen]
-        self.around = pair(pair(names_of(self.word, first, self.length), names_of(self.word, end, self.length)), ((where - first) * 4096 + (end - first)).astype(np.uint64))
+        extent = ((where - first) * 4096 + (end - first)).astype(np.uint64)
+        self.around, other = (pair(pair(names_of(self.word, first, self.length, x), names_of(self.word, end, self.length, x)), extent) for x in (U(0), OTHER))
+        # Each surrounding by its name's two halves: its place in order, and the least document here that has it.
+        order, begins, self.place = grouped(self.around, other)
+        self.least = least_of(order, begins, self.doc)
         self.out = self.abroad[self.own_group]
+        known = order[begins]
+        self.sent = np.flatnonzero(self.out[known])
+        self.halves = self.around[known][self.sent], other[known][self.sent]
 
     def send(self, round_: int) -> Iterator[tuple[str, int, int, bytes]]:
         if round_ == 1:
@@ -228,36 +303,37 @@ class Batch:
             around = self.around[self.out]
             signed = around.view(np.int64)
             yield from deal("m", self.number, self.buckets, *least_by(self.names[self.own_group[self.out]], (np.minimum, signed), (np.maximum, signed)))
-            yield from deal("a", self.number, self.buckets, *least_by(around, (np.minimum, self.doc[self.out])))
+            yield from deal("a", self.number, self.buckets, *self.halves, self.least[self.sent])
             return
         self.hear()
         yield from deal("s", self.number, self.buckets, *self.told())
 
     def hear(self) -> None:
         """Of each owner: the smallest document with its surrounding, and whether its name has several surroundings."""
-        sent, _ = least_by(self.around[self.out], (np.minimum, self.doc[self.out]))
-        known, low = least_by(self.around, (np.minimum, self.doc))
-        smallest = low.copy()
-        if len(sent):
-            at = np.searchsorted(known, sent)
-            smallest[at] = np.minimum(smallest[at], self.ids("a"))
-        self.smallest = look_up(self.around, known, smallest, NO_ID)
+        smallest = self.least.copy()
+        smallest[self.sent] = np.minimum(smallest[self.sent], self.ids("a"))
+        self.smallest = smallest[self.place]
         groups, a, b = least_by(self.own_group, (np.minimum, self.around), (np.maximum, self.around))
         several = np.zeros(len(self.names), bool)
         several[groups] = a != b
         several[self.abroad] |= self.bits("m", self.names[self.abroad])
         self.several = several[self.own_group]
 
-    def single(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The strings of the chosen owners: owner's place and start of each."""
-        counts = (self.end - self.first + 1)[chosen]
-        starts = np.repeat(self.first[chosen] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-        return np.repeat(chosen, counts), starts
-
-    def told(self) -> tuple[np.ndarray, np.ndarray]:
-        # The document that holds a surrounding first tells its strings for all that hold it.
-        owner, starts = self.single(np.flatnonzero(self.several & (self.smallest == self.doc)))
-        return least_by(names_of(self.word, starts, self.length), (np.minimum, self.doc[owner]))
+    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of single strings, by name: both halves and the smallest document here. The document that holds a surrounding first tells for all that hold it."""
+        chosen = np.flatnonzero(self.several & (self.smallest == self.doc))
+        first, end = self.first[chosen], self.end[chosen]
+        self.refined = Refined(self.word, first, end, self.length)
+        places, buckets = self.refined.places, self.refined.ids.astype(np.int64)
+        doc = self.docs[np.searchsorted(self.offsets, places, "right") - 1]
+        order = np.argsort(buckets, kind="stable")
+        begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), buckets[order][1:] != buckets[order][:-1]]))
+        of = places[order[begins]]
+        one, two = (names_of(self.word, of, self.length, x) for x in (U(0), OTHER))
+        by_name = np.lexsort((two, one))
+        #: The bucket that each name told stands for.
+        self.told_bucket = by_name
+        return one[by_name], two[by_name], least_of(order, begins, doc)[by_name]
 
     def cut(self) -> Iterator[tuple[int, int, int, bytes]]:
         """Of each document: bytes, bytes removed, runs removed, what is kept."""
@@ -267,14 +343,15 @@ class Batch:
         whole = self.smallest < self.doc
         np.add.at(marks, self.first[whole], 1)
         np.add.at(marks, self.end[whole] + self.length, -1)
-        # What is not whole is told, by this very document: its names are looked up among those sent.
-        owner, starts = self.single(np.flatnonzero(self.several & ~whole))
-        if len(starts):
-            name = names_of(self.word, starts, self.length)
-            told, _ = least_by(name, (np.minimum, self.doc[owner]))
-            starts = starts[look_up(name, told, self.ids("s"), NO_ID) < self.doc[owner]]
-            np.add.at(marks, starts, 1)
-            np.add.at(marks, starts + self.length, -1)
+        # What is not whole is told, by this very document: its buckets have their answers.
+        self.told()
+        smallest = np.full(len(self.told_bucket), NO_ID, np.int64)
+        smallest[self.told_bucket] = self.ids("s")
+        starts = self.refined.places
+        doc = self.docs[np.searchsorted(self.offsets, starts, "right") - 1]
+        starts = starts[smallest[self.refined.of(starts)] < doc]
+        np.add.at(marks, starts, 1)
+        np.add.at(marks, starts + self.length, -1)
         gone = np.cumsum(marks[:-1]) > 0
         for begin, end in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
             body, mask = self.data[begin:end], gone[begin:end]
@@ -343,10 +420,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, qgram: int = QGRAM, ba
         raise ValueError("8 <= qgram <= length")
     spark = docs.sparkSession
     bound_batches(spark)
-    scratch, n = Scratch(spark, "suffix"), parallelism(spark)
+    scratch = Scratch(spark, "suffix")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     batches = scratch.put(docs.mapInArrow(_collect(batch_bytes), BATCHES), "batches")
-    buckets = max(1, -(-batches.count() * batch_bytes // bucket_bytes))
+    count = batches.count()
+    buckets = max(1, -(-count * batch_bytes // bucket_bytes))
+    n = max(parallelism(spark), -(-count // TOGETHER))
     own = batches.select(F.lit("").alias("kind"), F.lit(-1).cast("long").alias("bucket"), "batch", F.col("body").alias("blob"), "doc_ids", "lengths")
     heard: DataFrame = own
 
