@@ -28,6 +28,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and scratch tables."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="vecloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -49,6 +51,18 @@ def _clear() -> None:
             _delete(spark, base)
 
 
+def made() -> int:
+    """How many folders of scratch tables there are so far."""
+    return len(_MADE)
+
+
+def release(since: int) -> None:
+    """Deletes the scratch tables made after the first ``since``, once what was computed from them is written."""
+    for spark, base in _MADE[since:]:
+        _delete(spark, base)
+    del _MADE[since:]
+
+
 class Scratch:
     """Tables written to the shared folder; ``drop`` removes the ones no later step reads."""
 
@@ -162,16 +176,18 @@ def unit_hash(column: str, seed: int = 0):
     return (F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 40)) / float(1 << 40)).cast("double")
 
 
-#: Rows of a few numbers and a short key that may be broadcast: some tens of MB.
-BROADCAST_ROWS = 200_000
+#: What may be broadcast: rows of a few numbers and a short key, some tens of MB, or rows of a known size.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def join_known(rows: DataFrame, known: DataFrame, key: str, n_known: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with one row a key: by broadcast up to BROADCAST_ROWS keys, beyond it salted.
+def join_known(rows: DataFrame, known: DataFrame, key: str, n_known: int, how: str = "inner", n_bytes: int = 0) -> DataFrame:
+    """``rows`` joined with one row a key: by broadcast up to BROADCAST_ROWS keys and BROADCAST_BYTES, beyond it salted.
 
-    A key may hold a third of ``rows``; neither way brings its rows to one task.
+    ``n_bytes``: the size of ``known`` where its rows hold more than a few
+    numbers.  A key may hold a third of ``rows``; neither way brings its rows to
+    one task.
     """
-    if n_known <= BROADCAST_ROWS:
+    if n_known <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(known), key, how)
     salts = parallelism(rows.sparkSession)
     salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -1,34 +1,41 @@
-"""Main text of web pages by paths and names, less the template text found by equivalence classes.
+"""Main text of web pages by equivalence-class template deduction.
 
 Pages of one host come from one template.  A page is a sequence of tokens: tags
 in the path that holds them, and text nodes.  A token's occurrence vector says
 how often each page of the host has it; tokens with equal vectors form an
 equivalence class.  Vectors are compared by fingerprints, sums over pages of a
 hash of the page times the count, so they add up in any order, combine before
-the shuffle and never bring a host's pages together.  A class is valid when
-enough pages of the host hold it, as often on each, and its tokens keep their
-order.  Text of a valid class is template text, which is boilerplate outside
-the article's slot: the slot goes from the article's first text that is not
-template text, or a heading ahead of that, to the last, and all inside it is
-kept, a heading that every page has included.
-
-Where this is less than the method: classes are not nested into a template with
-slots for lists.  Paths and names, not the template, pick the article; the
-template only takes away text before and after its slot and, on pages without
-an article, all text that the host repeats.
-
-Path rules: an ``article`` or ``main`` (or a container named so as a whole)
-holds the main text where a page has one; menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments of readers and containers
-named so are left out.  Inside the article only whole class and role names of
-containers count: no id, and no name of a heading, a paragraph or words in one,
-takes text away.  Headings in a header inside the article belong to the article.
+the shuffle and never bring a host's pages together.
+
+Template: a class is valid when enough pages of the host hold it, a tag is in it
+and its tokens have an order.  Valid classes are nested: the class of the page
+as a whole, once on each page, is the root; another class belongs into the one
+gap of a class already placed that holds all of it, the smallest there is, and
+is dropped where no gap does.  What remains between the tokens of nested classes
+are the slots.  Text of a placed class is template text.  A slot whose words are
+mostly those of links, on most pages, is a menu.
+
+Extraction: a page on which the root's tokens come in another order does not
+follow the template and is read by paths alone.  On others the article's slot
+goes from its first text that is not template text, or a heading ahead of that,
+to its last, and all inside it is kept, a heading that every page has included.
+Where paths name no article, all slots but menus are the main text, less
+template text.
+
+Path rules name the slots: an ``article`` or ``main`` (or a container named so
+as a whole) holds the main text where a page has one; menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, comments of readers and
+containers named so are left out.  Inside the article only whole class and role
+names of containers count: no id, and no name of a heading, a paragraph or words
+in one, takes text away.  Headings in a header inside the article belong to it.
 
 Defined results: null, empty and tag-only html give an empty text.  A host seen
-on fewer than ``min_pages`` pages, or whose pages mostly repeat one another, has
-no text template and is read by paths alone.  Urls without a host share one.
-Broken markup is read as far as it goes: an unclosed tag at the end is dropped,
-an unclosed element ends with its parent.  Repeated rows give repeated results.
+on fewer than ``min_pages`` pages, or whose pages mostly repeat one another,
+gives no vectors to tell tokens apart by and is read by paths alone.  Urls
+without a host share one.  Broken markup is read as far as it goes: an unclosed
+tag at the end is dropped, an unclosed element ends with its parent.  A very
+long page is one row, read once from end to end.  Repeated rows give repeated
+results, an empty table none.  Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -37,7 +44,10 @@ import hashlib
 import html as html_lib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,12 +98,17 @@ PLAIN_MAIN = frozenset("area body column container inner outer page primary site
 
 
 class Text:
-    """A text node: its path's key, whether paths alone make it main text, which article of the page it is in (0 for none), and the text."""
+    """A text node: its path, the text, whether paths drop it, which article of the page it is in (0 for none), and how many tags come before it."""
 
-    __slots__ = ("dropped", "heading", "in_article", "link", "path", "text")
+    __slots__ = ("after", "dropped", "heading", "in_article", "link", "path", "text")
 
-    def __init__(self, path: str, text: str, dropped: bool, in_article: int, link: bool, heading: bool):
-        self.path, self.text, self.dropped, self.in_article, self.link, self.heading = path, text, dropped, in_article, link, heading
+    def __init__(self, path: str, text: str, dropped: bool, in_article: int, link: bool, heading: bool, after: int):
+        self.path, self.text, self.dropped, self.in_article, self.link, self.heading, self.after = path, text, dropped, in_article, link, heading, after
+
+    @property
+    def slot(self) -> str:
+        """The path of the text; links count with what holds them."""
+        return self.path.rpartition("/a")[0] if self.link else self.path
 
 
 BREAK = None
@@ -146,10 +161,10 @@ def parse(page: str) -> tuple[list[Text | None], list[str]]:
         if upto > at:
             raw = page[at:upto]
             if raw.isspace():
-                out.append(Text("", " ", False, 0, False, False))
+                out.append(Text("", " ", False, 0, False, False, len(tags)))
                 return
             _, path, drop, article, _, header, heading, link = stack[-1]
-            out.append(Text(path, html_lib.unescape(raw) if "&" in raw else raw, drop > 0 or header and not (article and heading), article, link, heading))
+            out.append(Text(path, html_lib.unescape(raw) if "&" in raw else raw, drop > 0 or header and not (article and heading), article, link, heading, len(tags)))
 
     for m in TAG.finditer(page):
         if m.start() < at:
@@ -222,21 +237,41 @@ def normal(text: str) -> str:
     return " ".join(text.split())
 
 
-OCCURRENCES = "host string, token long, is_text boolean, pages long, f1 long, f2 long, times long, place double"
-OCCURRENCE = pa.schema([("host", pa.string()), ("token", pa.int64()), ("is_text", pa.bool_()), *((c, pa.int64()) for c in ("pages", "f1", "f2", "times")), ("place", pa.float64())])
+@lru_cache(1 << 16)
+def tag_token(path: str) -> int:
+    return token("tag", path)
+
+
+@lru_cache(1 << 16)
+def slot_token(path: str) -> int:
+    return token("slot", path)
+
+
+#: Kinds of tokens: a host as such, a page's main text, a tag, a text, and a path that holds text.
+HOST, BODY, TAG_KIND, TEXT_KIND, SLOT_KIND = range(5)
+SUMS = ("pages", "f1", "f2", "times", "place", "chars", "links")
+OCCURRENCES = "host string, token long, kind int, pages long, f1 long, f2 long, times long, place double, chars long, links long"
+OCCURRENCE = pa.schema([("host", pa.string()), ("token", pa.int64()), ("kind", pa.int32()), *((c, pa.float64() if c == "place" else pa.int64()) for c in SUMS)])
 
 
-def page_tokens(page: str) -> tuple[dict[tuple[int, bool], list], int]:
-    """Of each token of a page: how often, and where first; and a key of the page's main text."""
+def page_tokens(page: str) -> tuple[dict[tuple[int, int], list], int]:
+    """Of each token of a page: how often, where first, how many characters of text and of links; and a key of the page's main text."""
     nodes, tags = parse(page)
-    found: dict[tuple[int, bool], list] = {}
+    found: dict[tuple[int, int], list] = {}
     for i, path in enumerate(tags):
-        found.setdefault((token("tag", path), False), [0, i])[0] += 1
+        found.setdefault((tag_token(path), TAG_KIND), [0, i, 0, 0])[0] += 1
     body = []
-    for i, node in enumerate(x for x in nodes if x is not BREAK and x.path):
-        found.setdefault((token("text", node.path, normal(node.text)), True), [0, i])[0] += 1
+    for node in nodes:
+        if node is BREAK or not node.path:
+            continue
+        text = normal(node.text)
+        found.setdefault((token("text", node.path, text), TEXT_KIND), [0, node.after - 0.5, 0, 0])[0] += 1
+        slot = found.setdefault((slot_token(node.slot), SLOT_KIND), [0, node.after - 0.5, 0, 0])
+        slot[0] += 1
+        slot[2] += len(text)
+        slot[3] += len(text) if node.link else 0
         if not node.dropped:
-            body.append(normal(node.text))
+            body.append(text)
     return found, token("page", *body)
 
 
@@ -248,44 +283,89 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = host(url)
             found, body = page_tokens(page)
             a, b = (token("f1", url, str(body)) & 0x3FFFFFFF, token("f2", url, str(body)) & 0x3FFFFFFF)
-            for (t, is_text), (n, place) in [*found.items(), ((0, None), (1, 0))]:
-                s = sums.setdefault((h, t, is_text), [0, 0, 0, 0, 0.0])
-                s[0] += 1
-                s[1] += a * n
-                s[2] += b * n
-                s[3] += n
-                s[4] += place
-            s = sums.setdefault((h, body, None), [0, 0, 0, 0, 0.0]) if body else None
-            if s:
-                s[0] += 1
+            for (t, kind), (n, place, chars, links) in [*found.items(), ((0, HOST), (1, 0, 0, 0)), *([((body, BODY), (1, 0, 0, 0))] if body else [])]:
+                s = sums.setdefault((h, t, kind), [0, 0, 0, 0, 0.0, 0, 0])
+                for i, v in enumerate((1, a * n, b * n, n, place, chars, links)):
+                    s[i] += v
         keys = list(sums)
-        yield pa.RecordBatch.from_pydict(
-            {"host": [k[0] for k in keys], "token": [k[1] for k in keys], "is_text": [k[2] for k in keys]} | {c: [sums[k][i] for k in keys] for i, c in enumerate(("pages", "f1", "f2", "times", "place"))},
-            schema=OCCURRENCE,
-        )
+        yield pa.RecordBatch.from_pydict({"host": [k[0] for k in keys], "token": [k[1] for k in keys], "kind": [k[2] for k in keys]} | {c: [sums[k][i] for k in keys] for i, c in enumerate(SUMS)}, schema=OCCURRENCE)
+
+
+def nest(classes: list[list[float]], repeated: frozenset[int] = frozenset()) -> list[tuple[int, int] | None]:
+    """Where each class, given by the places of its tokens in order, belongs: (class, gap), (-1, 0) for the root, None where no gap holds all of it.
+
+    The first class is the root; larger ones are placed before smaller ones.
+    Places are those of first occurrences, so a class ``repeated`` on a page,
+    which may hold tokens of the root in one occurrence and none in another, goes
+    where its first token is.
+    """
+    out: list[tuple[int, int] | None] = []
+    for i, places in enumerate(classes):
+        if not i:
+            out.append((-1, 0))
+            continue
+        home, width = None, float("inf")
+        for j in range(i):
+            if out[j] is None:
+                continue
+            ends = classes[j]
+            gap = int(np.searchsorted(ends, places[0]))
+            if i not in repeated and gap != int(np.searchsorted(ends, places[-1])) or not 0 < gap <= len(ends) - (j > 0):
+                continue  # inside a class of parts only between two of them; the root's last gap is open
+            size = (ends[gap] if gap < len(ends) else float("inf")) - ends[gap - 1]
+            if home is None or size < width:
+                home, width = (j, gap), size
+        out.append(home)
+    return out
+
+
+TEMPLATE = "host string, constant array<long>, menus array<long>, skeleton array<long>, placed int"
+
+
+def build_template(frame: pd.DataFrame) -> pd.DataFrame:
+    """The template of one host from its frequent tokens, which are no more than a page has."""
+    tokens = frame[frame["kind"] != SLOT_KIND].sort_values(["place", "kind", "token"], kind="stable")
+    classes = []
+    for _, c in tokens.groupby(["f1", "f2", "pages", "times"], sort=False):
+        whole = int(c["times"].iloc[0]) % int(c["pages"].iloc[0]) == 0
+        if (c["kind"] == TAG_KIND).any() and whole and c["place"].nunique() * 2 > len(c):
+            classes.append(c)
+    if not classes:
+        return pd.DataFrame({"host": [], "constant": [], "menus": [], "skeleton": [], "placed": []})
+    # The root: once on each page, as many of its tokens as there are. Then by size.
+    classes.sort(key=lambda c: (int(c["times"].iloc[0]) != int(c["pages"].iloc[0]), -int(c["pages"].iloc[0]), -len(c), float(c["place"].iloc[0])))
+    homes = nest([c["place"].tolist() for c in classes], frozenset(i for i, c in enumerate(classes) if int(c["times"].iloc[0]) > int(c["pages"].iloc[0])))
+    placed = [c for c, home in zip(classes, homes, strict=True) if home is not None]
+    constant = [int(t) for c in placed for t in c.loc[c["kind"] == TEXT_KIND, "token"]]
+    root = classes[0]
+    skeleton = root.loc[root["kind"] == TAG_KIND, "token"].tolist() if (root["times"] == root["pages"]).all() else []
+    slots = frame[(frame["kind"] == SLOT_KIND) & (2 * frame["links"] >= frame["chars"]) & (frame["links"] > 0)]
+    return pd.DataFrame({"host": [frame["host"].iloc[0]], "constant": [constant], "menus": [slots["token"].tolist()], "skeleton": [skeleton], "placed": [len(placed)]})
 
 
 def deduce(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_variety: float = MIN_VARIETY) -> DataFrame:
-    """(host, constant): the text tokens in the template of each host that has one.
+    """TEMPLATE of each host that has one: template texts, menus, the root's tags in order, and how many classes are placed.
 
-    Classes: tokens of a host with equal fingerprints and counts.  Valid: on
-    ``min_share`` of the host's pages, as often on each, tokens in one order
-    (no two at one mean place), and with a tag among them, so that text alone
-    makes no class.  Hosts with few pages, or few different main texts, have none.
+    Hosts with few pages, or few different main texts, have none.
     """
-    seen = pages.select("url", "html").mapInArrow(_occurrences, OCCURRENCES).groupBy("host", "token", "is_text")
-    seen = scratch.put(seen.agg(*(F.sum(c).alias(c) for c in ("pages", "f1", "f2", "times", "place"))), "occurrences")
-    hosts = seen.where("token = 0 and is_text is null").select("host", F.col("pages").alias("of"))
-    variety = seen.where("token <> 0 and is_text is null").groupBy("host").agg(F.count("*").alias("kinds"))
+    seen = pages.select("url", "html").mapInArrow(_occurrences, OCCURRENCES).groupBy("host", "token", "kind")
+    seen = scratch.put(seen.agg(*(F.sum(c).alias(c) for c in SUMS)), "occurrences")
+    hosts = seen.where(F.col("kind") == HOST).select("host", F.col("pages").alias("of"))
+    variety = seen.where(F.col("kind") == BODY).groupBy("host").agg(F.count("*").alias("kinds"))
     hosts = hosts.where(F.col("of") >= min_pages).join(variety, "host").where(F.col("kinds") >= min_variety * F.col("of"))
     hosts = scratch.put(hosts, "hosts")
-    tokens = join_known(seen.where("is_text is not null and pages >= %d" % min_pages), hosts, "host", hosts.count())
+    tokens = join_known(seen.where((F.col("kind") >= TAG_KIND) & (F.col("pages") >= min_pages)), hosts, "host", hosts.count())
     tokens = tokens.where(F.col("pages") >= min_share * F.col("of")).withColumn("place", F.col("place") / F.col("pages"))
-    cls = ["host", "f1", "f2", "pages", "times"]
-    classes = tokens.groupBy(*cls).agg(F.count("*").alias("size"), F.countDistinct("place").alias("places"), F.max((~F.col("is_text")).cast("int")).alias("has_tag"))
-    valid = classes.where("times % pages = 0 and has_tag = 1 and places * 2 > size")
-    text = tokens.where("is_text").join(valid.select(*cls), cls).groupBy("host").agg(F.collect_set("token").alias("constant"))
-    return scratch.put(text, "templates")
+    return scratch.put(tokens.groupBy("host").applyInPandas(build_template, TEMPLATE), "templates")
+
+
+def follows(tags: list[str], skeleton: list[int]) -> bool:
+    """Whether the root's tags come on this page, each where it first does, in the template's order."""
+    first: dict[int, int] = {}
+    for i, path in enumerate(tags):
+        first.setdefault(tag_token(path), i)
+    at = [first[t] for t in skeleton if t in first]
+    return all(a < b for a, b in zip(at, at[1:], strict=False))
 
 
 def article_slots(nodes: list[Text | None], constant: frozenset[int]) -> dict[int, range]:
@@ -303,15 +383,21 @@ def article_slots(nodes: list[Text | None], constant: frozenset[int]) -> dict[in
     return slots
 
 
-def main_text(page: str, constant: frozenset[int] = frozenset()) -> str:
-    """The main text of a page, given the template texts of its host."""
-    nodes, _ = parse(page)
+NO_TEMPLATE: tuple[frozenset[int], frozenset[int], list[int]] = (frozenset(), frozenset(), [])
+
+
+def main_text(page: str, template: tuple[frozenset[int], frozenset[int], list[int]] = NO_TEMPLATE) -> str:
+    """The main text of a page, given its host's template: texts, menus and the root's tags in order."""
+    nodes, tags = parse(page)
+    constant, menus, skeleton = template
+    if skeleton and not follows(tags, skeleton):
+        constant, menus, skeleton = NO_TEMPLATE
     own = [x for x in nodes if x is not BREAK and x.path and not x.dropped]
     by_article = any(x.in_article for x in own)
     links = {}
-    if not by_article:  # without an article, slots that are mostly links are menus
+    if not by_article:  # without an article, what is mostly links on this page is a menu, too
         for x in own:
-            n = links.setdefault(x.path.rpartition("/a")[0] if x.link else x.path, [0, 0])
+            n = links.setdefault(x.slot, [0, 0])
             n[x.link] += len(x.text)
     slots = article_slots(nodes, constant) if constant and by_article else {}
     parts = []
@@ -325,7 +411,7 @@ def main_text(page: str, constant: frozenset[int] = frozenset()) -> str:
             continue
         elif constant and i not in slots.get(x.in_article, ()) and token("text", x.path, normal(x.text)) in constant:
             continue
-        elif x.link and not by_article and links[x.path.rpartition("/a")[0]][1] > 20 and links[x.path.rpartition("/a")[0]][0] == 0:
+        elif not by_article and (slot_token(x.slot) in menus or x.link and links[x.slot][1] > 20 and links[x.slot][0] == 0):
             continue
         else:
             parts.append(x.text)
@@ -337,7 +423,8 @@ RESULT = "page_id long, url string, text string, n_chars long"
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [main_text(x, frozenset(c or ())) for x, c in zip(texts(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
+        known = zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True)
+        found = [main_text(x, (frozenset(c or ()), frozenset(m or ()), k or [])) for x, (c, m, k) in zip(texts(batch.column(2)), known, strict=True)]
         yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(found, pa.string()), "n_chars": pa.array([len(x) for x in found], pa.int64())})
 
 
@@ -347,15 +434,11 @@ def extract(pages: DataFrame, **settings) -> DataFrame:
     bound_batches(spark, "8m")
     scratch = Scratch(spark, "html")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    templates = deduce(pages, scratch, **settings)
-    n = templates.count()
-    if n:
-        key = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-        known = pages.withColumn("host", key)
-        pages = join_known(known, templates, "host", n, "left")
-    else:
-        pages = pages.withColumn("constant", F.lit(None).cast("array<long>"))
-    return pages.select("page_id", "url", "html", "constant").mapInArrow(_extract, RESULT)
+    templates = deduce(pages, scratch, **settings).drop("placed")
+    size = templates.agg(F.count("*").alias("n"), F.sum(8 * (F.size("constant") + F.size("menus") + F.size("skeleton")) + F.length("host") + 64).alias("bytes")).first()
+    key = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    known = join_known(pages.withColumn("host", key), templates, "host", size["n"], "left", size["bytes"] or 0)
+    return known.select("page_id", "url", "html", "constant", "menus", "skeleton").mapInArrow(_extract, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
