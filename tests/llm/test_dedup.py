@@ -151,6 +151,57 @@ def test_depth_meets_the_recall():
         assert d == 8 or 1 - (1 - 0.8 ** (d + 1)) ** trees < recall
 
 
+def test_least_similarity_by_brute_force():
+    for n in range(1, 40):
+        sims = [i / (n + m - i) for m in range(1, 60) for i in range(min(n, m) + 1) if i < max(n, m) and i * 5 >= 4 * (n + m - i)]
+        assert near_dup.least_similarity(n, 0.8) == pytest.approx(min(sims, default=1.0))
+
+
+def test_documents_stop_at_their_own_prefix(spark):
+    """Sets of three runs never enter the forest, sets of six stop at a longer prefix than sets of five."""
+    stop = near_dup.stops(near_dup.TREES, near_dup.DEEPEST, 0.8, near_dup.RECALL)
+    assert stop[3] > near_dup.DEEPEST and stop[6] == 6 and stop[5] == 5 and stop[near_dup.SMALL_SET] == 5
+    label = np.array([[7, 7, 7, 7, 7, a, b] for a, b in ((1, 1), (1, 2), (2, 1), (2, 1))], np.uint8)
+    always = lambda i, others: np.ones(len(others), bool)
+    joined = lambda ends: {frozenset(e) for e in near_dup.climb(label, np.array(ends), 5, always)}
+    # Where all stop at five values the tree is spanned; the last two, which share all, are joined first.
+    assert near_dup.climb(label, np.array([5] * 4), 5, always)[0] == (2, 3) and len(joined([5] * 4)) == 3
+    # Documents that stop at six are not matched across the fifth value, whatever the others do.
+    assert joined([6, 5, 6, 5]) == {frozenset((0, 1)), frozenset((2, 3)), frozenset((1, 3))}
+    assert joined([6] * 4) == {frozenset((0, 1)), frozenset((2, 3))}
+
+
+@given(st.integers(2, 40), st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_climbing_spans_what_matches(n, seed):
+    """The parts are those of the graph of all matching pairs."""
+    r = np.random.default_rng(seed)
+    label = np.hstack([np.zeros((n, 2), np.uint8), r.integers(0, 2, (n, 5)).astype(np.uint8)])
+    stop = r.integers(2, 5, n)
+    match = r.random((n, n)) < 0.15
+    match |= match.T
+    found = near_dup.climb(label, stop, 2, lambda i, others: match[i, others])
+    shared = lambda i, j: int((label[i] == label[j]).argmin()) if (label[i] != label[j]).any() else 7
+    want = {(i, j) for i in range(n) for j in range(i) if match[i, j] and shared(i, j) >= max(stop[i], stop[j])}
+
+    def parts(edges):
+        part = list(range(n))
+        for i, j in edges:
+            a, b = part[i], part[j]
+            part = [b if x == a else x for x in part]
+        return [[part[i] == part[j] for j in range(n)] for i in range(n)]
+
+    assert all((i, j) in want or (j, i) in want for i, j in found) and parts(found) == parts(want)
+
+
+def test_links_of_very_large_sets_are_counted_exactly():
+    base = np.arange(3_000_000, dtype=np.uint64)
+    n = len(base)
+    shift = n // 9 + 1  # i / (2n - i) just below 0.8
+    assert (n - shift) * 5 < 4 * (n + shift) and not near_dup.linked([base, base + np.uint64(shift)], 0.8).any()
+    assert near_dup.linked([base, base + np.uint64(shift - 1)], 0.8).sum() == 2
+
+
 def test_runs_by_words():
     assert len(near_dup.runs(b"a b c d e f")) == 2
     assert len(near_dup.runs(b"a b")) == 1

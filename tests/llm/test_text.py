@@ -7,9 +7,12 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vecloom.llm import chat, html_extract, pii, toxicity
 from vecloom.llm.common import read
@@ -92,6 +95,64 @@ def test_template_text_inside_an_article_stays(spark):
     assert got == {i: f"Summary Dish {i}. Ingredients {i} eggs Mix well. Bake {i} minutes. Tip {i}" for i in range(20)}
 
 
+BARE = """<html><body><div class="q1"><a href="/">Home page of all</a> <a href="/2">Second entry</a> {menu}</div><div class="q2"><span>Read this with care.</span></div>
+<div class="q3"><h1>Tale {i}</h1><p>It was {i} o'clock.</p>{more}</div><div class="q4"><span>Printed by nobody.</span></div></body></html>"""
+
+
+def bare_rows(n=30):
+    """Pages whose markup says nothing: menus of links and fixed words around the text."""
+    return [(i, f"https://bare.example/{i}", BARE.format(i=i, menu="or" if i % 3 else "", more="<p>And then more.</p>" * (i % 4))) for i in range(n)]
+
+
+def test_the_template_finds_what_paths_do_not_name(spark):
+    """Without the template the fixed words and the menu stay; with it they go."""
+    rows = bare_rows()
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages(spark, rows).repartition(3)).collect()}
+    want = {i: f"Tale {i} It was {i} o'clock." + " And then more." * (i % 4) for i, _, _ in rows}
+    assert got == want
+    alone = {i: html_extract.main_text(page) for i, _, page in rows}
+    assert all(alone[i] != want[i] and "Printed by nobody." in alone[i] for i in want)
+
+
+def test_templates_are_found_on_the_tables(spark):
+    """Every host with pages enough has a template whose root holds the page's frame; the menu is among its slots."""
+    from vecloom.llm.common import Scratch
+
+    p = read(spark, "/root/testdata/sf0.01", "pages", "page_id", "url", "html")
+    found = html_extract.deduce(p.select("url", "html"), Scratch(spark, "t")).collect()
+    hosts = [h for (h,) in rows_of(p.groupBy(F.lower(F.regexp_extract("url", "//([^/?#:]*)", 1)).alias("h")).agg(F.count("*").alias("n")).where("n >= 6").select("h"))]
+    assert found and len(found) >= 0.8 * len(hosts)
+    tags = {html_extract.tag_token(t): t for t in ("/html", "/body", "/body/nav", "/body/article", "/body/article/h1", "/body/footer")}
+    for r in found:
+        assert [tags[t] for t in r["skeleton"] if t in tags] == list(tags.values())
+        assert r["placed"] >= 1
+
+
+def test_classes_nest_in_gaps():
+    """A class goes into the smallest gap that holds it; one that lies across a gap's ends belongs nowhere."""
+    root, item, across, inner, tail = [0, 2, 10, 20], [3, 6], [8, 12], [4, 5], [21, 22]
+    assert html_extract.nest([root, item, across, inner, tail]) == [(-1, 0), (0, 2), None, (1, 1), (0, 4)]
+
+
+def test_pages_out_of_order_are_read_by_paths():
+    order = [html_extract.tag_token(t) for t in ("/a1", "/b1", "/c1")]
+    assert html_extract.follows(["/a1", "/x", "/b1", "/c1", "/a1"], order) and html_extract.follows(["/c1"], order)
+    assert not html_extract.follows(["/b1", "/a1"], order)
+
+
+def test_occurrence_vectors_against_brute_force(spark):
+    """Fingerprints tell the vectors of counts apart: tokens of a host have equal ones exactly where their counts agree on all pages."""
+    rows = bare_rows(12)
+    found = [html_extract.page_tokens(page)[0] for _, _, page in rows]
+    batch = pa.RecordBatch.from_pydict({"url": [u for _, u, _ in rows], "html": [h for _, _, h in rows]})
+    out = next(html_extract._occurrences(iter([batch]))).to_pylist()
+    prints = {(r["token"], r["kind"]): (r["f1"], r["f2"], r["pages"], r["times"]) for r in out if r["kind"] >= html_extract.TAG_KIND}
+    vectors = {t: tuple(f.get(t, [0])[0] for f in found) for f in found for t in f}
+    assert prints.keys() == vectors.keys()
+    by_print, by_vector = ({frozenset(k for k in d if d[k] == v) for v in d.values()} for d in (prints, vectors))
+    assert by_print == by_vector
+
+
 def test_html_tables(spark, sf_dir):
     def plain(page):
         m = re.search(r"<article>(.*?)</article>", page, re.S)
@@ -172,6 +233,56 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.extract(docs(spark, rows).where("doc_id < 0")).count() == 0
 
 
+def test_keys_need_a_sure_context(spark):
+    """Strings like keys are seeds of the context they share; the context marks them and what else stands there, and nothing marks them elsewhere."""
+    r = random.Random(2)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'{r.choice("abcdefg")} word {r.randrange(99)} token = "{key()}" {r.choice("hijk")}') for i in range(30)]
+    rows += [(100, 'x token = "open-sesame" y'), (101, f"the build {key()} passed"), (102, 'a title = "open-sesame" b'), (103, "token = plain words")]
+    got = {d: [rows[d if d < 30 else d - 70][1][x["start"] : x["stop"]] for x in s if x["kind"] == "secret"] for d, _, s in rows_of(pii.extract(docs(spark, rows).repartition(3)))}
+    assert all(len(got[i]) == 1 and len(got[i][0]) == 40 for i in range(30))
+    assert got[100] == ["open-sesame"] and got[101] == got[102] == got[103] == []
+
+
+def test_patterns_are_scored_as_by_hand(spark):
+    """The Spark scores against a plain walk over the same graph, with a pattern that holds most of the corpus."""
+    r, rows = random.Random(3), []
+    for i in range(300):
+        kind = r.choice(["phone", "", "", "card"])
+        rows.append((i, kind, f"n{r.randrange(120)}", r.choice(["p", "pc", "s"]) if not kind else {"phone": "p", "card": "c"}[kind], ["hot", r.choice(["a", "b", "c"])]))
+    items = spark.createDataFrame([(*x[:1], 0, 1, *x[1:]) for x in rows], "row long, start long, stop long, kind string, instance string, shape string, patterns array<string>")
+    from vecloom.llm.common import Scratch
+
+    got = {(p, k): c for p, k, c in rows_of(pii.learn(items, Scratch(spark, "t"), 3, 0.3, 3))}
+    edges = {}
+    for _, kind, instance, shape, ps in rows:
+        for p in ps:
+            edges[p, instance, kind] = min(shape, edges.get((p, instance, kind), "z"))
+    seeds = {(p, k): len({i for q, i, m in edges if q == p and m == k}) for p, _, k in edges if k}
+    pairs = [(p, i, m, s, k) for (p, i, m), s in edges.items() for (q, k), n in seeds.items() if q == p and n >= 3]
+    belief, score = {}, {}
+    for _ in range(3):
+        score = {}
+        for p, i, m, s, k in pairs:
+            own, against = m == k, m != k and (m != "" or k[0] not in s)
+            t = score.setdefault((p, k), [0.0, 0.0, 0.0])
+            t[0] += 1 if own else 0 if against else belief.get((i, k), 0)
+            t[1] += against
+            t[2] += 0 if own or against else 1 - belief.get((i, k), 0)
+        score = {x: m / (m + a + pii.UNSEEN * u + 1) for x, (m, a, u) in score.items()}
+        miss = {}
+        for p, i, m, s, k in pairs:
+            if m == "" and k[0] in s and score[p, k] >= pii.SPEAKS:
+                miss[i, k] = miss.get((i, k), 1.0) * (1 - min(score[p, k], 0.999))
+        belief = {x: 1 - v for x, v in miss.items()}
+    assert got == pytest.approx({x: v for x, v in score.items() if v >= 0.3}) and len(got) > 2
+
+
+def test_discoveries_on_the_tables(spark):
+    found = pii.query(spark, "/root/testdata/sf0.1").agg(F.sum("n_found"), F.sum("n_secret"), F.sum(F.col("n_spans") - F.col("n_found") - F.col("n_email") - F.col("n_ip") - F.col("n_card") - F.col("n_phone"))).first()
+    assert found[0] >= found[1] > 50 and found[2] == 0
+
+
 # ---- toxicity -------------------------------------------------------------
 
 
@@ -218,6 +329,74 @@ def test_held_out_accuracy(spark):
     assert sum(s >= 0.5 for s in good) <= 0.01 * len(good)
 
 
+    # More toxic rows are caught than by any word of the lexicon being there, at no more false alarms than a hundredth.
+    assert sum(s >= 0.5 for s in bad) >= 0.85 * len(bad)
+
+
+CLAUSES = ["you are an idiot", "what an idiot", "he is not an idiot", "she said idiot to me", 'they wrote "an idiot and an idiot" again', "no idiot", "I will kill you", "you I kill", "never kill", "the sun is up", "he said not an idiot", "vequille"]
+
+
+def brute_events(text, insults=("idiot",), stems=("vequ",)):
+    """The grammar as sentences: each harmful word by what stands before it in its clause."""
+    out = [0] * len(toxicity.EVENTS)
+    for line in text.casefold().split("\n"):
+        said, quoted = False, False
+        for clause in re.split(r"([.!?;]+)", line):
+            if re.fullmatch(r"[.!?;]+", clause):
+                said = False
+                continue
+            since = {"negation": 99, "target": 99}
+            for w in re.findall(r"[^\W\d_]+|\"", clause):
+                kind = "insult" if w in insults or w.startswith(stems) else "threat" if w in toxicity.THREATS else None
+                if kind:
+                    how = "negated" if since["negation"] < 4 else "reported" if said or quoted else "aimed" if since["target"] < 4 else ""
+                    out[toxicity.EVENTS.index(f"{kind} {how}".strip())] += 1
+                since = {k: v + 1 for k, v in since.items()}
+                if w in toxicity.NEGATIONS:
+                    since["negation"] = 0
+                elif w in toxicity.TARGETS:
+                    since["target"] = 0
+                elif w in toxicity.SPEECH:
+                    said = said or not quoted
+                elif w == '"':
+                    said, quoted = False, said and not quoted
+    return out
+
+
+@given(st.lists(st.sampled_from([*CLAUSES, '"', "said", "not", "you", "idiot", "kill", "word"]), max_size=12), st.lists(st.sampled_from([". ", " ", "! ", "\n", "; "]), min_size=12, max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_events_against_brute_force(parts, gaps):
+    text = "".join(a + b for a, b in zip(parts, gaps, strict=False))
+    assert toxicity.Lexicon(["idiot$", "vequ"]).events(text) == brute_events(text)
+
+
+def test_scores_against_brute_force(spark):
+    """Scores of texts from events counted by hand and the formula written out."""
+    r = random.Random(6)
+    model = toxicity.Model(["idiot$", "vequ"], np.array([-3.0, 0.7, 1.1]))
+    rows = [(i, " ".join(r.choice(CLAUSES) + r.choice([".", "", "!", "\n"]) for _ in range(r.randrange(9)))) for i in range(60)] + ODD
+    got = {(x["doc_id"], x["score"]): x["predicted"] for x in toxicity.score(docs(spark, rows, True).repartition(3), model).collect()}
+    for i, t in rows:
+        total = sum(n * w for n, w in zip(brute_events(t or ""), toxicity.PATHS, strict=True))
+        z = -3.0 + 0.7 * np.log1p(total) + 1.1 * min(10.0, 100 * total / max(20, len((t or "").split())))
+        score = next(s for d, s in got if d == i and s == pytest.approx(1 / (1 + np.exp(-z))))
+        assert got[i, score] == int(score >= 0.5)
+
+
+def test_context_lowers_scores():
+    """Whatever the labels say, a negated or reported clause scores below a plain one, and an aimed one above."""
+    x, y = np.array([[0.0, 0.0], [0.7, 5.0], [2.0, 9.0]] * 9), np.array([1.0, 0.0, 0.0] * 9)
+    assert (toxicity.fit(x, y)[1:] >= 0).all()  # even where labels are against it
+    score = toxicity.Model(["idiot$"], np.array([-3.0, 0.5, 1.0])).scorer()
+    at = {c: score(c)[0] for c in CLAUSES}
+    assert at["you are an idiot"] > at["what an idiot"] > at["she said idiot to me"] > at["he is not an idiot"] > at["the sun is up"]
+    assert at["you I kill"] > at["I will kill you"] > at["never kill"] and at["he said not an idiot"] == at["he is not an idiot"]
+
+
+def test_entries_are_not_told_twice():
+    assert toxicity.choose([("idiot$", 9.0), ("idio", 9.0), ("idiots$", 5.0), ("veq", 4.0), ("vequ", 5.0), ("vequx", 3.0), ("vequa$", 2.0)]) == ["idiot$", "idiots$", "vequ"]
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark):
     rows = [(i, "you idiot " + "abcdefghij"[i % 10] * 3 if i % 4 == 0 else "a fine day " + "klmnopqrst"[i % 10] * 4) for i in range(120)]
     truth = [(i, 1, int(i % 4 == 0)) for i, _ in rows]
