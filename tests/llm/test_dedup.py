@@ -280,6 +280,54 @@ def test_passages_edges(spark):
         suffix_dedup.remove_repeats(docs(spark, ODD), qgram=60)
 
 
+def test_slabs_do_not_show(spark, monkeypatch):
+    """Documents many slabs long, repeats across a slab's end, matches near every end."""
+    monkeypatch.setattr(suffix_dedup, "SLAB_BYTES", 64)
+    rows = passage_rows(9) + [(50, "".join(random.Random(7).choice("ab") for _ in range(900))), (51, "".join(random.Random(7).choice("ab") for _ in range(700)))]
+    whole = "".join(t or "" for _, t in rows).encode()
+    offsets = np.concatenate([[0], np.cumsum([len((t or "").encode()) for _, t in rows])])
+    small = suffix_dedup.owners(whole, offsets, 50, 20)
+    monkeypatch.setattr(suffix_dedup, "SLAB_BYTES", 1 << 20)
+    large = suffix_dedup.owners(whole, offsets, 50, 20)
+    assert all((a == b).all() for a, b in zip(small, large, strict=True)) and len(small[0]) > 20
+    got = rows_of(suffix_dedup.remove_repeats(docs(spark, rows), batch_bytes=500, bucket_bytes=400))
+    assert sorted(got, key=repr) == sorted(brute_passages(rows), key=repr)
+
+
+@given(st.integers(8, 60), st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_refined_buckets_hold_equal_strings(depth, seed):
+    """Suffixes share a bucket exactly where their first bytes are equal."""
+    r = random.Random(seed)
+    data = "".join(r.choice(["a", "b", "ab" * 20, "abba" * 9]) for _ in range(40)).encode() + b"c" * 70
+    first = np.array(sorted(r.sample(range(len(data) - depth - 10), 5)))
+    last = first + np.array([r.randrange(10) for _ in range(5)])
+    refined = suffix_dedup.Refined(suffix_dedup.words_at(data), first, last, depth)
+    assert refined.places.tolist() == sorted({p for a, b in zip(first, last, strict=True) for p in range(a, b + 1)})
+    strings = [data[p : p + depth] for p in refined.places.tolist()]
+    for i, a in enumerate(strings):
+        for j, b in enumerate(strings):
+            assert (refined.ids[i] == refined.ids[j]) == (a == b)
+    assert (refined.of(refined.places) == refined.ids).all()
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_hot_keys_are_dealt_out(spark, monkeypatch, most):
+    """A key beyond the bound goes to several tasks, with or without a broadcast; joins stay what they are, and so do the operators on them."""
+    from vecloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(90)], "k long, v long")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 5")
+    for how in ("inner", "left"):
+        plain = rows.join(groups, "k", how).select("k", "v", "n")
+        assert sorted(rows_of(common.join_sized(rows, groups, ["k"], "n", how).select("k", "v", "n")), key=repr) == sorted(rows_of(plain), key=repr)
+    near = [(i, t) for i, (_, t) in enumerate(near_rows(3))] + [(100 + i, "the very same words in every one") for i in range(12)]
+    assert sorted(rows_of(near_dup.classes(docs(spark, near))), key=repr) == sorted(brute_near(near), key=repr)
+    assert sorted(rows_of(exact_dedup.decisions(docs(spark, near))), key=repr) == sorted(brute_exact(near), key=repr)
+
+
 def test_bucket_names_are_names():
     r = np.random.default_rng(1)
     data = bytes(r.integers(97, 99, 400).tolist())

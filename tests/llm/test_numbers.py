@@ -320,6 +320,19 @@ def test_pipeline_by_stages(spark, sf_dir, tmp_path):
     assert frames["toxicity"][1].count() >= 0.7 * frames["toxicity"][0].count()
 
 
+def test_pipeline_passes_other_columns_on(spark, sf_dir, tmp_path):
+    """Columns whose names the operators use inside come through every stage but the last."""
+    df = docs(spark, [*ODD, *((100 + i, " ".join(words(40, i))) for i in range(5))], True)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf_dir)
+        assert out.columns == df.columns, name
+        path = str(tmp_path / name)
+        out.write.parquet(path)
+        df = spark.read.parquet(path)
+        assert df.where("node = 'clash' and _id = 'clash' and kept = 'clash'").count() == df.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).count() >= df.count()
+
+
 def test_pipeline_on_no_rows_and_odd_rows(spark, sf_dir, tmp_path):
     for k, df in enumerate((docs(spark, ODD), docs(spark, ODD).where("doc_id < 0"))):
         for name, stage in corpus_pipeline.STAGES:

@@ -25,7 +25,9 @@ beyond it they are split by id.
 Defined results: null text is an empty text, null role the empty role; turns
 are ordered by turn number (null first), then role, then text, and repeated
 rows are turns of their own.  A conversation is a non-null conv_id; rows with a
-null conv_id form one conversation of their own.
+null conv_id form one conversation of their own, which like any other is held
+whole by the task that formats it.  A very long turn is written whole.  An empty
+table gives no rows.  Only conv_id, turn, role and text are read.
 """
 
 from __future__ import annotations

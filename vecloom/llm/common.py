@@ -193,3 +193,29 @@ def join_known(rows: DataFrame, known: DataFrame, key: str, n_known: int, how: s
     salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = rows.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
     return spread.join(salted.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
+#: Rows of one key that may meet in one task.
+HOT_ROWS = 65_536
+
+
+def join_sized(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with one row a key, whose column ``size`` tells about how many of ``rows`` have it.
+
+    A key of more than HOT_ROWS rows is dealt to as many tasks as it needs, and
+    its row in ``groups`` goes to each.  The keys that are so large are few, at
+    most a row in HOT_ROWS, and are broadcast up to a checked count; beyond it
+    every key is dealt to as many tasks as the largest needs.
+    """
+    ways = F.greatest(F.ceil(F.col(size) / HOT_ROWS), F.lit(1)).cast("int")
+    hot = groups.where(F.col(size) > HOT_ROWS).select(*keys, ways.alias("_ways"))
+    n_hot, most = hot.agg(F.count("*"), F.max("_ways")).first()
+    if not n_hot:
+        return rows.join(groups.hint("merge"), keys, how)
+    if n_hot > BROADCAST_ROWS:
+        salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+        spread = rows.withColumn("_salt", (F.monotonically_increasing_id() % most).cast("int"))
+        return spread.join(salted.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+    spread = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", (F.monotonically_increasing_id() % F.coalesce("_ways", F.lit(1))).cast("int")).drop("_ways")
+    return spread.join(salted.hint("merge"), [*keys, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_sized
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str, rounds: int = 60) -> DataFrame:
@@ -14,19 +14,24 @@ def components(edges: DataFrame, scratch: Scratch, tag: str, rounds: int = 60) -
     Alternating large-star and small-star: every round links the larger
     neighbours of a node to the smallest known one, then the smaller ones.  The
     edges end as stars.  A hub's neighbours are never gathered: its minimum is
-    an aggregation that combines before the shuffle, and the join with it is a
-    plain equi-join that skew handling may split.
+    an aggregation that combines before the shuffle, and its rows are dealt to as
+    many tasks as they need where it meets them.
+
+    Loops and repeated edges count once; a null end is no edge; without edges
+    there are no rows.  A chain of n nodes settles in about log2(n) rounds, so
+    ``rounds`` is reached by no table; were it, the call fails rather than
+    return parts of components.
     """
     edges = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}_0")
     for i in range(1, rounds + 1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.put(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), f"{tag}_{i}_large")
-        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = scratch.put(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")), f"{tag}_{i}_large")
+        large = join_sized(both, least, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = scratch.put(large, f"{tag}_{i}_l")
         # Small star: a node and its smaller neighbours link to the smallest of them.
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = scratch.put(down.groupBy("a").agg(F.min("b").alias("m")), f"{tag}_{i}_small")
-        small = down.join(least.hint("merge"), "a")
+        least = scratch.put(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), f"{tag}_{i}_small")
+        small = join_sized(down, least, ["a"], "n")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         new = scratch.put(small, f"{tag}_{i}")
         changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() or edges.join(new, ["a", "b"], "left_anti").limit(1).count()

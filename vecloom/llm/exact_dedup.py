@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, boxed, read, utf8
+from .common import Scratch, bound_batches, boxed, join_sized, read, utf8
 
 #: Two primes under 2**31 and a base for each; sums of 2**20 products of a byte and a residue fit in 64 bits.
 PRIMES = (2147483647, 2147483629)
@@ -113,20 +113,18 @@ def decisions(docs: DataFrame, poly: Polynomial | None = None, compare_bytes: in
     prints = scratch.put(docs.mapInArrow(_print_rows(poly, False), "doc_id long, fp long, n_bytes long, text_sha256 string"), "prints")
     groups = scratch.put(prints.groupBy("fp", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     # Only texts that share a fingerprint with another row are moved again, and only once.
-    suspects = groups.where("group_size > 1 and n_bytes > 0").select("fp", "n_bytes", "keep_id")
-    members = scratch.put(
-        docs.mapInArrow(_print_rows(poly, True), "doc_id long, fp long, n_bytes long, body binary").join(suspects.hint("merge"), ["fp", "n_bytes"]), "members"
-    )
+    suspects = groups.where("group_size > 1 and n_bytes > 0")
+    bodies = docs.mapInArrow(_print_rows(poly, True), "doc_id long, fp long, n_bytes long, body binary")
+    members = scratch.put(join_sized(bodies, suspects, ["fp", "n_bytes"], "group_size"), "members")
     chunks = "fp long, n_bytes long, part long, piece binary"
     theirs = members.select("fp", "n_bytes", "body").mapInArrow(_chunk_rows(compare_bytes), chunks)
     stays = members.where("doc_id <=> keep_id").groupBy("fp", "n_bytes").agg(F.min("body").alias("body"))
-    stays = scratch.put(stays.mapInArrow(_chunk_rows(compare_bytes), chunks).withColumnRenamed("piece", "kept_piece"), "stays")
-    differ = scratch.put(
-        theirs.join(stays.hint("merge"), ["fp", "n_bytes", "part"]).where("piece <> kept_piece").groupBy("fp", "n_bytes").agg(F.count("*").alias("n_differ")), "differ"
-    )
-    out = prints.join(groups.hint("merge"), ["fp", "n_bytes"])
+    stays = stays.mapInArrow(_chunk_rows(compare_bytes), chunks).withColumnRenamed("piece", "kept_piece")
+    stays = scratch.put(join_sized(stays, suspects.select("fp", "n_bytes", "group_size"), ["fp", "n_bytes"], "group_size"), "stays")
+    differ = scratch.put(join_sized(theirs, stays, ["fp", "n_bytes", "part"], "group_size").where("piece <> kept_piece").groupBy("fp", "n_bytes").agg(F.count("*").alias("n_differ")), "differ")
+    out = join_sized(prints, groups, ["fp", "n_bytes"], "group_size")
     if differ.limit(1).count():  # a collision: these groups are told apart by their whole texts
-        own = members.drop("keep_id").join(differ.select("fp", "n_bytes"), ["fp", "n_bytes"])
+        own = members.drop("keep_id", "group_size").join(differ.select("fp", "n_bytes"), ["fp", "n_bytes"])
         own = own.withColumn("text_sha256", F.sha2("body", 256))
         right = scratch.put(own.groupBy("fp", "n_bytes", "body", "text_sha256").agg(F.max("doc_id").alias("right_id"), F.count("*").alias("right_size")).drop("body"), "right")
         out = out.join(right.hint("merge"), ["fp", "n_bytes", "text_sha256"], "left")

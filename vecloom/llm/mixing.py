@@ -18,7 +18,9 @@ keys, so that a source's words end within a bin or a document of its target.
 
 Defined results: null text has no words and is taken 0 times; null source is a
 source of its own, the last.  A source without words has target 0.  Rows that
-repeat a doc_id are mixed row by row and decide alike.
+repeat a doc_id are mixed row by row and decide alike; a null doc_id draws as one
+number.  A very long text is one size, taken whole or not.  An empty table gives
+no rows.  ``mix`` passes all other columns on, whatever their names.
 """
 
 from __future__ import annotations

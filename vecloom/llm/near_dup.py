@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, bound_batches, boxed, mix64, parallelism, read, utf8, whole_groups
+from .common import BROADCAST_ROWS, Scratch, bound_batches, boxed, join_sized, mix64, parallelism, read, utf8, whole_groups
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -351,7 +351,7 @@ def classes(
     # Prefixes that two nodes or more share: subtries, in blocks.
     held = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
     shared = scratch.put(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    held = held.join(shared.hint("merge"), "key").select("key", "tree", "node", F.ceil(F.col("n") / block_nodes).alias("ways"))
+    held = join_sized(held, shared, ["key"], "n").select("key", "tree", "node", F.ceil(F.col("n") / block_nodes).alias("ways"))
     held = scratch.put(held, "held")
     scratch.settle()
     dealt = block_pairs(held.join(nodes.select("node", "n_runs", "sketch").hint("merge"), "node"), "key", "ways", "node")
@@ -361,8 +361,8 @@ def classes(
     members = scratch.put(components(edges, scratch, "near"), "members")
     sizes = members.join(nodes.select(F.col("node").alias("id"), "name", "rep", "size", "n_runs").hint("merge"), "id")
     sizes = scratch.put(sizes, "sizes")
-    ways = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_runs") / block_runs)).alias("ways"))
-    sizes = scratch.put(sizes.join(scratch.put(ways, "ways").hint("merge"), "root"), "placed")
+    ways = sizes.groupBy("root").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_runs") / block_runs)).alias("ways"))
+    sizes = scratch.put(join_sized(sizes, scratch.put(ways, "ways"), ["root"], "n").drop("n"), "placed")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,10 +384,10 @@ def classes(
         joined = components(apart, scratch, "apart").select(F.col("id").alias("node"), F.col("root").alias("across"))
         linkage = linkage.join(scratch.put(joined, "across").hint("merge"), "node", "left").withColumn("near", F.coalesce("across", "near")).drop("across")
     full = nodes.select("node", "name", "rep", "size").join(scratch.put(linkage, "linkage").hint("merge"), "node", "left")
-    full = scratch.put(full.select("node", "name", "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("near", "node").alias("near")), "full")
-    named = scratch.put(full.groupBy("near").agg(F.min("rep").alias("class_id")), "named")
-    full = scratch.put(full.join(named.hint("merge"), "near").select("name", "n_links", "class_id"), "classes")
-    out = signed.select("doc_id", "name", "n_runs").where("n_runs > 0").join(full.hint("merge"), "name")
+    full = scratch.put(full.select("node", "name", "rep", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("near", "node").alias("near")), "full")
+    named = scratch.put(full.groupBy("near").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")), "named")
+    full = scratch.put(join_sized(full, named, ["near"], "n").select("name", "size", "n_links", "class_id"), "classes")
+    out = join_sized(signed.select("doc_id", "name", "n_runs").where("n_runs > 0"), full, ["name"], "size")
     alone = signed.where("n_runs = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_runs")
     return out.select("doc_id", "class_id", "n_links", "n_runs").unionByName(alone)
 
