@@ -77,14 +77,12 @@ def test_plans():
 
 
 def test_settings():
-    assert QuantizeConfig(avg_bits=4).name == "b4_adj_seg"
-    assert QuantizeConfig(avg_bits=0.5, segmentation=False, code=CodeConfig(rotate=False, adjust=False)).name == "b0.5_norotate"
     assert real_bits(4, 64) == 5
     for bad in ({"distance": "cos"}, {"avg_bits": 14}, {"dim_block": 0}):
         with pytest.raises(ValueError):
             QuantizeConfig(**bad)
     with pytest.raises(ValueError):
-        CodeConfig(kind="other")
+        CodeConfig(source_bits=14)
 
 
 def test_rotation_keeps_norms():

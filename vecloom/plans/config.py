@@ -25,11 +25,8 @@ class CodeConfig:
     epsilon: float = 1e-8
     #: Code at this many bits first and keep the top ones; 0: at the target bits.
     source_bits: int = 0
-    kind: str = "adjusted"
 
     def __post_init__(self) -> None:
-        if self.kind != "adjusted":
-            raise ValueError(f"quantizer {self.kind!r}: only 'adjusted' is implemented")
         if self.source_bits and not 0 < self.source_bits <= MAX_BITS:
             raise ValueError(f"source_bits up to {MAX_BITS}")
 
@@ -56,21 +53,6 @@ class QuantizeConfig:
         if self.dim_block < 1 or self.equal_segments < 0:
             raise ValueError("dim_block from 1, equal_segments from 0")
 
-    @property
-    def name(self) -> str:
-        """A folder name that tells the settings apart."""
-        bits = f"{self.avg_bits:g}"
-        parts = [f"b{bits}"] + ["norotate"] * (not self.code.rotate)
-        if self.code.adjust:
-            parts.append("adj" if self.code.max_rounds == 6 else f"adj{self.code.max_rounds}")
-        if self.code.source_bits:
-            parts.append(f"oqb{self.code.source_bits}")
-        if self.segmentation:
-            parts.append("seg")
-            if self.equal_segments:
-                parts.append(f"eqseg{self.equal_segments}")
-        return "_".join(parts)
-
 
 @dataclass(frozen=True)
 class SearchConfig:
