@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecloom.operators import clustering, evaluate, knn, search, transforms
+from vecloom import tools
+from vecloom.operators import clustering, evaluate, knn, quantize, search, transforms
 from vecloom.operators.index import Index
 from vecloom.plans.config import IP, QuantizeConfig, SearchConfig
 from vecloom.plans.model import Model
-from vecloom.sources import vecfiles
+from vecloom.sources import index_store, reports, vecfiles
 from vecloom.streaming import append_to_index
 
 RNG = np.random.default_rng(9)
@@ -34,6 +35,22 @@ def test_exact_knn_by_brute_force(spark, kind):
         assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == want
 
 
+@pytest.mark.parametrize("step", [1e-5, 1e-3])
+def test_near_copies_far_from_the_origin(spark, step):
+    """Rounding of a matrix product about the origin would lose every digit of these distances."""
+    x = np.stack([1e4 + step * np.arange(300), np.full(300, 1e4)], axis=1)
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in knn.exact_knn(v, v.withColumnRenamed("vec_id", "query_id"), 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for i in range(300):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        assert got[i] == np.lexsort((np.arange(300), d))[:4].tolist()
+    c = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x[::50])], "cluster_id int, centroid array<double>")
+    at = {r["vec_id"]: r["cluster_id"] for r in clustering.assign(v, c).collect()}
+    assert all(at[i] == ((x[::50] - x[i]) ** 2).sum(axis=1).argmin() for i in range(300))
+
+
 def test_knn_edges(spark):
     x = frame(spark, RNG.standard_normal((3, 4)))
     with_null = x.unionByName(spark.createDataFrame([(9, None)], x.schema))
@@ -74,6 +91,40 @@ def test_pruned_search_agrees(spark):
     assert 0 <= evaluate.prune_rate(read, 32, 6).first()[0] <= 1
 
 
+@pytest.mark.parametrize("kind", ["l2sqr", IP])
+def test_pruning_reads_less_and_keeps_the_best(kind):
+    """On uneven variances: with a wide bound nothing is lost, and most bits stay unread."""
+    scale = np.repeat([4.0, 1.0, 0.25, 0.1], 16)
+    x, q = RNG.standard_normal((900, 64)) * scale, RNG.standard_normal((7, 64)) * scale
+    model = Model.fit(x.var(axis=0), QuantizeConfig(avg_bits=4, dim_block=16, distance=kind))
+    code, factors = quantize.encode_matrix(x, model)
+    packed, estimator = quantize.Layout(model.segments).pack(code), search.Estimator(model, SearchConfig(kind, prune=True))
+    assert (quantize.Layout(model.segments).unpack(packed) == code).all() and packed.shape[1] * 8 <= 4 * 64 + 64
+    whole = estimator.packed(q, np.zeros(64), packed, factors)[2]
+    value, top, rest = estimator.pruned(q, np.zeros(64), packed, factors, 5)
+    seen = np.isfinite(value)
+    most = 900 * sum(s.length * max(0, s.bits - 1) for s in model.segments)
+    assert np.allclose(value[seen], whole[seen]) and (rest.sum(axis=1) <= most).all() and rest.sum() < 7 * most
+    sign = -1 if kind == IP else 1
+    a, b = (np.argsort(sign * v, axis=1)[:, :5] for v in (whole, value))
+    assert np.mean([len(set(i) & set(j)) for i, j in zip(a, b, strict=True)]) >= 4.5
+
+
+def test_hot_cluster_is_salted(spark, monkeypatch):
+    """Beyond the size for a broadcast, queries go to every task of a hot cluster; nothing is lost."""
+    x = RNG.standard_normal((500, 16))
+    v, q = frame(spark, x), queries(spark, x[:9])
+    members = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(500)], "vec_id long, cluster_id int")
+    c = spark.createDataFrame([(i, [float(i)] * 16) for i in range(2)], "cluster_id int, centroid array<double>")
+    index = Index.build(v, QuantizeConfig(avg_bits=8, dim_block=16), c, members)
+    plain = sorted(map(tuple, index.search(q, 20, 2).collect()))
+    raw = sorted(map(tuple, search.partial_search(q, v, members, c, 20, 2, 16).collect()))
+    monkeypatch.setattr(search, "SMALL_BYTES", 1)
+    monkeypatch.setattr(search, "TILE", 1)
+    assert sorted(map(tuple, index.search(q, 20, 2).collect())) == plain
+    assert sorted(map(tuple, search.partial_search(q, v, members, c, 20, 2, 16).collect())) == raw
+
+
 def test_kmeans_lowers_the_error(spark):
     x = np.concatenate([RNG.standard_normal((60, 5)) + 8 * i for i in range(3)])
     v = frame(spark, x).repartition(4)
@@ -143,6 +194,53 @@ def test_files_of_other_kinds(spark, tmp_path):
     assert np.allclose([r["embedding"] for r in vecfiles.read(spark, str(tmp_path / "c.fvecs")).orderBy("vec_id").collect()], x[:5])
 
 
+@pytest.mark.parametrize("suffix", [".fvecs", ".fbin"])
+def test_files_in_parts_and_ranges(spark, tmp_path, suffix, monkeypatch):
+    x = RNG.standard_normal((103, 7)).astype("f4")
+    monkeypatch.setattr(vecfiles, "RANGE_BYTES", 300)
+    path = str(tmp_path / f"parts{suffix}")
+    assert vecfiles.write_parts(frame(spark, x).repartition(5), path) == 103
+    assert vecfiles.write(frame(spark, x), str(tmp_path / f"one{suffix}")) == 103
+    for p in (path, "file://" + str(tmp_path / f"one{suffix}")):
+        got = vecfiles.read(spark, p).orderBy("vec_id").collect()
+        assert [r["vec_id"] for r in got] == list(range(103)) and np.allclose([r["embedding"] for r in got], x)
+    assert vecfiles.exists(path) and not vecfiles.exists(path + "x")
+    assert vecfiles.size(str(tmp_path / f"one{suffix}")) == 103 * 28 + (103 * 4 if suffix == ".fvecs" else 8)
+    with pytest.raises(FileNotFoundError):
+        vecfiles.size(path + "x")
+    empty = frame(spark, x).where("vec_id < 0")
+    assert vecfiles.write_parts(empty, str(tmp_path / f"none{suffix}")) == 0
+    assert vecfiles.read(spark, str(tmp_path / f"none{suffix}")).count() == 0
+
+
+def test_programs(spark, tmp_path):
+    """From files to figures, as from a command line."""
+    x = (RNG.standard_normal((400, 32)) * np.repeat([2.0, 0.5], 16)).astype("f4")
+    at = lambda name: str(tmp_path / name)
+    vecfiles.write(frame(spark, x), at("base.fvecs"))
+    vecfiles.write(frame(spark, x[:8] + 0.01), at("query.fbin"))
+    run = lambda *a: tools.main([str(v) for v in a], spark)
+    run("axes", "--base", at("base.fvecs"), "--out", at("axes"), "--turn", at("base.fvecs"), at("b.fvecs"), at("query.fbin"), at("q.fvecs"))
+    mean, axes = index_store.load_axes(spark, at("axes"))
+    turned = np.array([r["embedding"] for r in vecfiles.read(spark, at("b.fvecs")).orderBy("vec_id").collect()])
+    assert np.allclose(turned, (x - mean) @ axes, atol=1e-4)
+    run("truth", "--base", at("b.fvecs"), "--queries", at("q.fvecs"), "--out", at("truth.ivecs"), "--k", 10)
+    run("truth", "--base", at("b.fvecs"), "--queries", at("q.fvecs"), "--check", at("truth.ivecs"), "--k", 10)
+    run("build", "--base", at("b.fvecs"), "--out", at("runs_b4.index"), "--clusters", 4, "--block", 16, "--report", at("r_b4.build"))
+    one = spark.read.option("header", True).csv(at("r_b4.build")).collect()
+    assert one[0].asDict().keys() == set(reports.INDEX_COLUMNS) and 0.9 < float(one[0]["ip_err_avg"]) <= 1
+    common = ["--index", at("runs_b4.index"), "--base", at("b.fvecs"), "--queries", at("q.fvecs"), "--k", 10, "--nprobe", 2, 4]
+    run("search", *common, "--truth", at("truth.ivecs"), "--rounds", 1, "--out", at("r_b4.search"))
+    rows = spark.read.option("header", True).option("inferSchema", True).csv(at("r_b4.search")).orderBy("nprobe").collect()
+    assert [r["nprobe"] for r in rows] == [2, 4] and rows[1]["recall"] >= 0.8 and rows[1]["ratio"] >= 1 - 1e-3
+    run("errors", *common, "--out", at("r_b4.errors"))
+    assert spark.read.option("header", True).csv(at("r_b4.errors")).count() == 2
+    run("partial", "--base", at("b.fvecs"), "--queries", at("q.fvecs"), "--clusters", 4, "--exact-dims", 16, "--k", 10, "--nprobe", 4, "--rounds", 1, "--out", at("r_b0.partial"))
+    run("gather", "--files", at("r_b4.search"), "--words", "_b4", "--dims", 32, "--out", at("all"))
+    got = spark.read.option("header", True).option("inferSchema", True).csv(at("all")).collect()
+    assert {r["bits"] for r in got} == {4.0} and {r["real_bits"] for r in got} == {6.0}
+
+
 def test_index_round_trip_and_stream(spark, tmp_path):
     x = RNG.standard_normal((50, 32))
     v = frame(spark, x)

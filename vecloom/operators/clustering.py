@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import IP, L2
-from .knn import distances, exact_knn
+from .knn import exact_knn, nearest
 from .tiles import SMALL_BYTES, matrix, rows_of
 
+#: Centroids in training: each task and the driver hold them a few times over.
+TABLE_BYTES = 4 * SMALL_BYTES
+
 
 def centroid_table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(ids, matrix) of a centroid table; a model, bounded by its own size and not the data's."""
@@ -42,33 +45,38 @@ def assign(vectors: DataFrame, centroids: DataFrame, kind: str = L2, id_name: st
         return found.select(F.col("query_id").alias("vec_id"), F.col("vec_id").cast("int").alias("cluster_id"), root(F.col("dist")).alias("dist"))
     ids, table = centroid_table(centroids)
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = distances(table, matrix(batch.column(1)), kind)
-            at = d.argmax(axis=1) if kind == IP else d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[at], pa.int64()), pa.array(d[np.arange(len(d)), at])], ["vec_id", "cluster_id", "dist"])
+            if not batch.num_rows:
+                continue
+            at, d = nearest(table, matrix(batch.column(1)), ids, 1, kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[at[:, 0]], pa.int64()), pa.array(d[:, 0])], ["vec_id", "cluster_id", "dist"])
 
     v = vectors.select(F.col(id_name).cast("long").alias("vec_id"), F.col(vector_name).cast("array<double>").alias("v")).where("v is not null")
-    return v.mapInArrow(nearest, "vec_id long, cluster_id long, dist double").select("vec_id", F.col("cluster_id").cast("int").alias("cluster_id"), root(F.col("dist")).alias("dist"))
+    return v.mapInArrow(place, "vec_id long, cluster_id long, dist double").select("vec_id", F.col("cluster_id").cast("int").alias("cluster_id"), root(F.col("dist")).alias("dist"))
 
 
 def train(vectors: DataFrame, k: int, rounds: int = 10, seed: int = 0, kind: str = L2, id_name: str = "vec_id", vector_name: str = "embedding") -> DataFrame:
-    """(cluster_id, centroid) by Lloyd's rounds; what comes to the driver is k sums a round.
+    """(cluster_id, centroid) by Lloyd's rounds; what comes to the driver is k sums a round, at most TABLE_BYTES.
 
     For inner products centroids are brought to length 1 after each round.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_name).cast("long").alias("id"), F.col(vector_name).cast("array<double>").alias("v")).where("v is not null")
+    width = (v.select(F.size("v")).first() or [0])[0]
+    if k * width * 8 > TABLE_BYTES:
+        raise ValueError(f"{k} centroids of {width} numbers exceed {TABLE_BYTES} bytes: train on coarser clusters first and split those")
     start = v.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k).collect()
     table = np.array([r["v"] for r in start], np.float64)
 
     def partial(table: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums, counts = np.zeros_like(table), np.zeros(len(table), np.int64)
+            sums, counts, order = np.zeros_like(table), np.zeros(len(table), np.int64), np.arange(len(table))
             for batch in batches:
                 x = matrix(batch.column(1))
-                d = distances(table, x, kind)
-                at = d.argmax(axis=1) if kind == IP else d.argmin(axis=1)
+                if not len(x):
+                    continue
+                at = nearest(table, x, order, 1, kind)[0][:, 0]
                 np.add.at(sums, at, x)
                 counts += np.bincount(at, minlength=len(table))
             hit = np.flatnonzero(counts)

@@ -15,11 +15,48 @@ from .tiles import TILE, is_small, tiles, untile
 
 
 def distances(x: np.ndarray, q: np.ndarray, kind: str) -> np.ndarray:
-    """Queries by rows of ``x``: squared distances, or inner products."""
+    """Queries by rows of ``x``: squared distances, or inner products; squared distances within ``error_of``."""
     s = q @ x.T
     return s if kind == IP else np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * s, 0.0)
 
 
+def error_of(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How far ``distances`` may be off for each query: the rounding of sums of squares as large as these."""
+    reach = np.sqrt((q * q).sum(axis=1)) + np.sqrt((x * x).sum(axis=1).max(initial=0.0))
+    return np.finfo(np.float64).eps * (x.shape[1] + 8) * reach**2
+
+
+def nearest(x: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places, values) of the ``k`` best rows of ``x`` for each query, ties to the smaller id.
+
+    A matrix product about the rows' mean finds all rows that rounding may let
+    into the best; their distances are then taken from the differences, so that
+    long vectors and near copies rank as they should.
+    """
+    k = min(k, len(x))
+    if kind == IP or not len(q) or not k:
+        d = distances(x, q, kind)
+        at = leading(d, ids, k, kind)
+        return at, np.take_along_axis(d, at, axis=1)
+    middle = x.mean(axis=0)
+    x_mid, q_mid = x - middle, q - middle
+    about = distances(x_mid, q_mid, kind)
+    bar = np.partition(about, k - 1, axis=1)[:, k - 1] + 2 * error_of(x_mid, q_mid)
+    out, values = np.zeros((len(q), k), np.int64), np.zeros((len(q), k))
+    inside = about <= bar[:, None]
+    if k == 1 and inside.sum() == len(q):
+        out = inside.argmax(axis=1)[:, None]
+        return out, ((x[out[:, 0]] - q) ** 2).sum(axis=1)[:, None]
+    for i in range(len(q)):
+        near = np.flatnonzero(inside[i])
+        if len(near) < k:  # components that are no numbers
+            near = np.arange(len(x))
+        exact = ((x[near] - q[i]) ** 2).sum(axis=1)
+        order = np.lexsort((ids[near], exact))[:k]
+        out[i], values[i] = near[order], exact[order]
+    return out, values
+
+
 def leading(values: np.ndarray, ids: np.ndarray, k: int, kind: str) -> np.ndarray:
     """Places of the ``k`` best of each row, ties to the smaller id."""
     sign = -1.0 if kind == IP else 1.0
@@ -56,11 +93,10 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, k: int, kind: str = L2, id
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (dict(zip(batch.schema.names, (c[i].as_py() for c in batch.columns), strict=True)) for i in range(batch.num_rows)):
                 (ids, x), (q_ids, q) = untile(row["n"], row["ids"], row["data"]), untile(row["q_n"], row["q_ids"], row["q_data"])
-                d = distances(x, q, kind)
-                at = leading(d, ids, min(k, len(ids)), kind)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, at.shape[1])), pa.array(ids[at].ravel()), pa.array(np.take_along_axis(d, at, axis=1).ravel())], ["query_id", "vec_id", "dist"])
+                at, d = nearest(x, q, ids, k, kind)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, at.shape[1])), pa.array(ids[at].ravel()), pa.array(d.ravel())], ["query_id", "vec_id", "dist"])
 
     return ranked(base.crossJoin(ask).mapInArrow(meet, "query_id long, vec_id long, dist double"), k, kind)
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.bits import Segment
 from ..plans.config import MAX_BITS, CodeConfig
 from ..plans.model import Model
 from .clustering import centroid_table
@@ -115,6 +116,52 @@ def unpack_codes(top: bytes, rest: bytes, bits: int, length: int) -> np.ndarray:
     return (planes << np.arange(bits - 1, -1, -1)).sum(axis=1)
 
 
+class Layout:
+    """Where the bits of a vector's code lie: the top bits of each segment, then the other bits of each, every part from a whole byte on."""
+
+    def __init__(self, segments: list[Segment]):
+        at, self.tops, self.rests = 0, [], []
+        for out, width in ((self.tops, lambda s: s.length * min(s.bits, 1)), (self.rests, lambda s: s.length * max(s.bits - 1, 0))):
+            for s in segments:
+                out.append(slice(at, at + -(-width(s) // 8)))
+                at = out[-1].stop
+        self.segments, self.size = segments, at
+
+    def pack(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of bytes from rows of codes of all padded dimensions."""
+        out = np.zeros((len(codes), self.size), np.uint8)
+        for s, top, rest in zip(self.segments, self.tops, self.rests, strict=True):
+            code = codes[:, s.offset : s.offset + s.length]
+            if s.bits:
+                out[:, top] = np.packbits((code >> (s.bits - 1)).astype(np.uint8) & 1, axis=1)
+            if s.bits > 1:
+                planes = (code[:, :, None] >> np.arange(s.bits - 2, -1, -1)) & 1
+                out[:, rest] = np.packbits(planes.astype(np.uint8).reshape(len(code), -1), axis=1)
+        return out
+
+    def top(self, packed: np.ndarray, i: int) -> np.ndarray:
+        """The top bits of segment ``i``, 0 or 1."""
+        return np.unpackbits(packed[:, self.tops[i]], axis=1, count=self.segments[i].length)
+
+    def rest(self, packed: np.ndarray, i: int) -> np.ndarray:
+        """The codes of segment ``i`` without their top bits."""
+        s = self.segments[i]
+        planes = np.unpackbits(packed[:, self.rests[i]], axis=1, count=s.length * (s.bits - 1)).reshape(len(packed), s.length, s.bits - 1)
+        out = np.zeros(planes.shape[:2], np.uint16)
+        for b in range(s.bits - 1):
+            out = (out << 1) | planes[:, :, b]
+        return out
+
+    def unpack(self, packed: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(packed), sum(s.length for s in self.segments)), np.int64)
+        for i, s in enumerate(self.segments):
+            if s.bits:
+                out[:, s.offset : s.offset + s.length] = self.top(packed, i).astype(np.int64) << (s.bits - 1)
+            if s.bits > 1:
+                out[:, s.offset : s.offset + s.length] |= self.rest(packed, i)
+        return out
+
+
 # ---- encoding tables ------------------------------------------------------
 
 CODES = "cluster_id int, vec_id long, code binary, factors array<double>"
@@ -130,12 +177,12 @@ def encode_matrix(x: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def encode(vectors: DataFrame, assigned: DataFrame | None, centroids: DataFrame | None, model: Model, id_name: str = "vec_id", vector_name: str = "embedding") -> DataFrame:
     """CODES of ``vectors``: residuals to their centroids, or vectors as they are where ``assigned`` is None.
 
-    Codes are two bytes a dimension (Parquet packs them); four factors a segment.
+    A code has the bits that its segments give it and no more (``Layout``); four factors a segment.
     Encoding needs no shuffle: ``assigned`` is joined by id, centroids ship with
     the model while they are small and are joined beyond that.
     """
     v = vectors.select(F.col(id_name).cast("long").alias("vec_id"), F.col(vector_name).cast("array<double>").alias("v")).where("v is not null")
-    table = None
+    table, layout = None, Layout(model.segments)
     if assigned is None:
         v = v.select(F.lit(0).alias("cluster_id"), "vec_id", "v")
     else:
@@ -155,7 +202,7 @@ def encode(vectors: DataFrame, assigned: DataFrame | None, centroids: DataFrame
                 ids, rows = table
                 x = x - rows[np.searchsorted(ids, batch.column(0).to_numpy())]
             codes, factors = encode_matrix(x, model)
-            blobs = [c.tobytes() for c in codes.astype("<u2")]
+            blobs = [c.tobytes() for c in layout.pack(codes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary()), pa.array(list(factors), pa.list_(pa.float64()))], ["cluster_id", "vec_id", "code", "factors"])
 
     return v.mapInArrow(run, CODES)
@@ -163,14 +210,14 @@ def encode(vectors: DataFrame, assigned: DataFrame | None, centroids: DataFrame
 
 def code_tables(codes: DataFrame, model: Model) -> DataFrame:
     """(cluster_id, vec_id, segment, bits, top, rest): codes as packed bits, a row for each segment."""
-    segments = [(i, s.offset, s.length, s.bits) for i, s in enumerate(model.segments)]
+    layout = Layout(model.segments)
+    segments = [(i, s.bits, top, rest) for i, (s, top, rest) in enumerate(zip(model.segments, layout.tops, layout.rests, strict=True))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for cluster, vec, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                code = np.frombuffer(blob, "<u2").astype(np.int64)
-                rows += [(cluster, vec, i, bits, *pack_codes(code[o : o + n], bits)) for i, o, n, bits in segments]
+                rows += [(cluster, vec, i, bits, blob[top], blob[rest]) for i, bits, top, rest in segments]
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], ["cluster_id", "vec_id", "segment", "bits", "top", "rest"])
 

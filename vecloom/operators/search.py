@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..plans.config import IP, L2, SearchConfig
 from ..plans.model import Model
-from .knn import distances, exact_knn, leading, ranked
-from .quantize import levels
-from .tiles import TILE, matrix, untile
+from .knn import exact_knn, leading, nearest, ranked
+from .quantize import Layout
+from .tiles import SMALL_BYTES, TILE, matrix, untile
 
 
 def probe(queries: DataFrame, centroids: DataFrame, nprobe: int, kind: str = L2) -> DataFrame:
@@ -50,77 +50,222 @@ def code_tiles(codes: DataFrame, size: int = TILE) -> DataFrame:
 
 
 def query_tiles(queries: DataFrame, probes: DataFrame, centroids: DataFrame, size: int = 256) -> DataFrame:
-    """(cluster_id, centroid, q_n, q_ids, q_data): the queries that probe a cluster, about ``size`` to a row."""
+    """(cluster_id, q_n, q_ids, q_data, centroid): the queries that probe a cluster, about ``size`` to a row, as tiles."""
     slot = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // size))))
     asked = probes.select("query_id", "cluster_id").withColumn("slot", slot).join(queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")), "query_id")
-    grouped = asked.groupBy("cluster_id", "slot").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-    return grouped.join(centroids.select("cluster_id", F.col("centroid").cast("array<double>").alias("centroid")), "cluster_id").select("cluster_id", "centroid", "asked")
+    grouped = asked.groupBy("cluster_id", "slot").agg(F.sort_array(F.collect_list(F.struct("query_id", "q"))).alias("asked"))
+    found = grouped.join(centroids.select("cluster_id", F.col("centroid").cast("array<double>").alias("centroid")), "cluster_id").select("cluster_id", "centroid", "asked")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            centre, asked = matrix(batch.column(1)), batch.column(2)
+            flat = asked.flatten()
+            ids, q = flat.field(0).to_numpy(zero_copy_only=False).astype("<i8"), matrix(flat.field(1))
+            cut = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
+            parts = list(zip(cut[:-1], cut[1:], strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([b - a for a, b in parts], pa.int32()), pa.array([ids[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([q[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([c.tobytes() for c in centre], pa.binary())],
+                ["cluster_id", "q_n", "q_ids", "q_data", "centroid"],
+            )
+
+    return found.mapInArrow(pack, "cluster_id int, q_n int, q_ids binary, q_data binary, centroid binary")
+
+
+#: A cluster of more tiles than this meets its queries in several tasks.
+HOT_TILES = 64
+
+
+def meet(tiles: DataFrame, asked: DataFrame, members: DataFrame, sent_bytes: int) -> DataFrame:
+    """Tiles of vectors joined with the tiles of queries that probe their cluster.
+
+    The tiles of queries are broadcast while ``sent_bytes`` is within bounds, so
+    tiles of vectors stay where they are.  Beyond it both sides are dealt by
+    cluster and a salt; ``members`` (cluster_id) tells how many tasks a hot
+    cluster needs, and its queries go to each of them.
+    """
+    if sent_bytes <= SMALL_BYTES:
+        return tiles.join(F.broadcast(asked), "cluster_id")
+    ways = members.groupBy("cluster_id").agg(F.ceil(F.count("*") / (TILE * HOT_TILES)).cast("int").alias("ways"))
+    salted = asked.join(ways, "cluster_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    spread = tiles.join(ways, "cluster_id").withColumn("salt", F.pmod(F.xxhash64("ids"), F.col("ways")).cast("int"))
+    return spread.join(salted.drop("ways").hint("merge"), ["cluster_id", "salt"]).drop("salt", "ways")
+
+
+def sent(queries: DataFrame, nprobe: int) -> int:
+    """Bytes of all tiles of queries: each query is sent to every cluster it probes."""
+    first = queries.select(F.size("embedding").alias("d")).first()
+    return queries.count() * nprobe * (8 * (first["d"] if first else 1) + 8)
+
+
+def products(p: np.ndarray, m: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    """``p @ m.T`` where ``wanted`` (None: everywhere); by whole columns, or row by row where little is wanted."""
+    if wanted is None:
+        return p @ m.T
+    out, columns = np.zeros((len(p), len(m))), np.flatnonzero(wanted.any(axis=0))
+    if wanted.sum() * 3 > len(p) * len(columns):
+        out[:, columns] = p @ m[columns].T
+        return out
+    for i in np.flatnonzero(wanted.any(axis=1)):
+        at = np.flatnonzero(wanted[i])
+        out[i, at] = m[at] @ p[i]
+    return out
+
+
+class Ready:
+    """What a tile of queries and a centroid give the estimates before any vector is looked at."""
+
+    def __init__(self, model: Model, cfg: SearchConfig, q: np.ndarray, centroid: np.ndarray):
+        raw, c = model.pad(q), model.pad(centroid[None, :])
+        self.parts = model.parts(raw - c if cfg.distance == L2 else raw)
+        cuts = [slice(s.offset, s.offset + s.length) for s in model.segments]
+        self.with_c = [(raw[:, k] * c[:, k]).sum(axis=1)[:, None] for k in cuts]
+        #: The spread of each query in each segment, from the variances alone.
+        self.spread = [cfg.bound_multiplier * np.sqrt((raw[:, k] ** 2 * model.variance[k]).sum(axis=1))[:, None] for k in cuts]
+        self.squares = [(p * p).sum(axis=1)[:, None] for p in self.parts]
+        self.sums = [p.sum(axis=1)[:, None] for p in self.parts]
 
 
 class Estimator:
-    """Bound, fast and accurate estimates of all distances between queries and coded vectors."""
+    """Bound, fast and accurate estimates of distances between queries and coded vectors, segment by segment.
 
-    def __init__(self, model: Model, config: SearchConfig):
-        self.model, self.config = model, config
+    The fast estimate takes a segment's top bits; the accurate one adds the
+    product with the other bits to the product it has.
+    """
 
-    def bounds(self, q: np.ndarray) -> np.ndarray:
-        """The spread of each query in each segment, from the variances alone."""
-        m = self.config.bound_multiplier
-        q = self.model.pad(q)
-        return np.stack([m * np.sqrt((q[:, s.offset : s.offset + s.length] ** 2 * self.model.variance[s.offset : s.offset + s.length]).sum(axis=1)) for s in self.model.segments])
+    def __init__(self, model: Model, config: SearchConfig):
+        self.model, self.config, self.l2 = model, config, config.distance == L2
+
+    def nothing(self, ready: Ready, factors: np.ndarray, i: int) -> np.ndarray:
+        """The distance but for the product of residuals."""
+        norm = factors[:, 4 * i][None, :]
+        return norm**2 + ready.squares[i] if self.l2 else ready.with_c[i] + np.zeros_like(norm)
+
+    def bound(self, ready: Ready, factors: np.ndarray, i: int) -> np.ndarray:
+        if self.l2:
+            return np.maximum(self.nothing(ready, factors, i) - 2 * ready.spread[i], 0)
+        return self.nothing(ready, factors, i) - ready.spread[i]
+
+    def fast(self, ready: Ready, factors: np.ndarray, i: int, top: np.ndarray) -> np.ndarray:
+        """From the product ``top`` with the top bits."""
+        s, cfg = self.model.segments[i], self.config
+        a = (top - (0.5 * ready.sums[i] - cfg.fast_shift * np.sqrt(ready.squares[i]))) * 4 / (cfg.fast_scale * np.sqrt(s.length)) * factors[:, 4 * i][None, :]
+        return np.maximum(self.nothing(ready, factors, i) - a, 0) if self.l2 else 0.5 * a + self.nothing(ready, factors, i)
+
+    def accurate(self, ready: Ready, factors: np.ndarray, i: int, whole: np.ndarray) -> np.ndarray:
+        """From the product ``whole`` with the codes."""
+        values = (whole + 0.5 * ready.sums[i]) * (2 / 2 ** self.model.segments[i].bits) - ready.sums[i]
+        t = factors[:, 4 * i + 1][None, :] * values
+        return self.nothing(ready, factors, i) - 2 * t if self.l2 else t + self.nothing(ready, factors, i)
 
     def all(self, q: np.ndarray, centroid: np.ndarray, codes: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bound, fast, accurate), each queries by vectors, summed over segments."""
-        model, cfg = self.model, self.config
-        l2 = cfg.distance == L2
-        raw, c = model.pad(q), model.pad(centroid[None, :])
-        parts = model.parts(raw - c if l2 else raw)
-        with_c = np.stack([(raw[:, s.offset : s.offset + s.length] * c[:, s.offset : s.offset + s.length]).sum(axis=1) for s in model.segments])
-        spread = self.bounds(q)
-        out = [np.zeros((len(q), len(codes))) for _ in range(3)]
-        for i, (s, p) in enumerate(zip(model.segments, parts, strict=True)):
-            norm, rescale = factors[:, 4 * i], factors[:, 4 * i + 1]
-            both = norm[None, :] ** 2 + (p * p).sum(axis=1)[:, None]
-            r, qc = spread[i][:, None], with_c[i][:, None]
-            out[0] += np.maximum(both - 2 * r, 0) if l2 else qc - r + np.zeros_like(both)
+        """(bound, fast, accurate) of rows of codes, each queries by vectors, summed over segments."""
+        return self.packed(q, centroid, Layout(self.model.segments).pack(codes), factors)
+
+    def packed(self, q: np.ndarray, centroid: np.ndarray, packed: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of packed codes."""
+        ready, layout = Ready(self.model, self.config, q, centroid), Layout(self.model.segments)
+        out = [np.zeros((len(q), len(packed))) for _ in range(3)]
+        for i, s in enumerate(self.model.segments):
+            out[0] += self.bound(ready, factors, i)
             if s.bits == 0:
-                nothing = both if l2 else qc + np.zeros_like(both)
-                out[1] += nothing
-                out[2] += nothing
+                out[1] += self.nothing(ready, factors, i)
+                out[2] += self.nothing(ready, factors, i)
                 continue
-            code = codes[:, s.offset : s.offset + s.length]
-            top = (code >> (s.bits - 1)).astype(np.float64)
-            total, length = p.sum(axis=1)[:, None], np.sqrt((p * p).sum(axis=1))[:, None]
-            a = (p @ top.T - (0.5 * total - cfg.fast_shift * length)) * 4 / (cfg.fast_scale * np.sqrt(s.length)) * norm[None, :]
-            out[1] += np.maximum(both - a, 0) if l2 else 0.5 * a + qc
-            t = rescale[None, :] * (p @ levels(code, s.bits).T)
-            out[2] += both - 2 * t if l2 else t + qc
+            top = ready.parts[i] @ layout.top(packed, i).astype(np.float64).T
+            out[1] += self.fast(ready, factors, i, top)
+            whole = top * 2 ** (s.bits - 1) + (ready.parts[i] @ layout.rest(packed, i).astype(np.float64).T if s.bits > 1 else 0)
+            out[2] += self.accurate(ready, factors, i, whole)
         return tuple(out)
 
+    def pruned(self, q: np.ndarray, centroid: np.ndarray, packed: np.ndarray, factors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(accurate or the worst, top bits read, other bits read) of a tile, skipping what cannot be among its best ``k``.
+
+        The ``k`` vectors that are best by bound are estimated accurately; the
+        worst of them is the bar.  All others go from bound to fast to accurate
+        estimates one segment after another, and are left as soon as their sum,
+        with the lesser estimates of the segments to come, is beyond the bar.
+        """
+        segments, layout, sign = self.model.segments, Layout(self.model.segments), 1.0 if self.l2 else -1.0
+        ready = Ready(self.model, self.config, q, centroid)
+        # What a segment can bring at best: for inner products the spread counts upwards.
+        bounds = [self.bound(ready, factors, i) if self.l2 else self.nothing(ready, factors, i) + ready.spread[i] for i in range(len(segments))]
+        total = sum(bounds)
+        k = min(k, len(packed))
+        near = np.zeros(total.shape, bool)
+        np.put_along_axis(near, np.argpartition(sign * total, k - 1, axis=1)[:, :k], True, axis=1)
+        live, bar = near, None
+        value = np.full(total.shape, sign * np.inf)
+        read_top, read_rest = np.zeros(total.shape, np.int64), np.zeros(total.shape, np.int64)
+        tops: list[np.ndarray | None] = [None] * len(segments)
+        rests: list[np.ndarray | None] = [None] * len(segments)
+        for step in ("near", "others"):
+            left = total.copy()
+            for stage in ("fast", "accurate"):
+                for i, s in enumerate(segments):
+                    if not live.any():
+                        break
+                    if s.bits == 0:
+                        if stage == "fast":
+                            left += self.nothing(ready, factors, i) - bounds[i]
+                        continue
+                    columns = np.flatnonzero(live.any(axis=0))
+                    if stage == "fast":
+                        m = np.zeros((len(packed), s.length))
+                        m[columns] = layout.top(packed[columns], i)
+                        product = products(ready.parts[i], m, live)
+                        tops[i] = product if tops[i] is None else np.where(live, product, tops[i])
+                        rests[i] = self.fast(ready, factors, i, tops[i])
+                        left = np.where(live, left + rests[i] - bounds[i], left)
+                        read_top += live * s.length
+                    else:
+                        whole = tops[i] * 2 ** (s.bits - 1)
+                        if s.bits > 1:
+                            m = np.zeros((len(packed), s.length))
+                            m[columns] = layout.rest(packed[columns], i)
+                            whole = whole + products(ready.parts[i], m, live)
+                            read_rest += live * (s.length * (s.bits - 1))
+                        left = np.where(live, left + self.accurate(ready, factors, i, whole) - rests[i], left)
+                    if bar is not None and not (stage == "accurate" and i == len(segments) - 1):
+                        live = live & (sign * left <= bar)
+            value = np.where(live, left, value)
+            if step == "near":
+                bar = (sign * np.where(near, value, -sign * np.inf)).max(axis=1, keepdims=True)
+                live = ~near & (sign * total <= bar)
+        return value, read_top, read_rest
+
 
 def _pairs(queries: DataFrame, codes: DataFrame, centroids: DataFrame, model: Model, nprobe: int, config: SearchConfig) -> DataFrame:
     probes = probe(queries, centroids, nprobe, config.distance)
-    return code_tiles(codes).join(query_tiles(queries, probes, centroids), "cluster_id")
+    return meet(code_tiles(codes), query_tiles(queries, probes, centroids), codes.select("cluster_id"), sent(queries, nprobe))
+
+
+def rows_of_pairs(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch; binary columns stay bytes, so no number becomes an object of its own."""
+    columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+    for i in range(batch.num_rows):
+        yield {name: c[i].as_py() for name, c in columns.items()}
 
 
-def _decode(row: dict, padded: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _decode(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = row["n"]
-    codes = np.frombuffer(row["codes"], "<u2").reshape(n, padded).astype(np.int64)
+    packed = np.frombuffer(row["codes"], np.uint8).reshape(n, -1)
     factors = np.frombuffer(row["factors"], np.float64).reshape(n, -1)
-    asked = sorted(row["asked"], key=lambda x: x["query_id"])
-    return np.frombuffer(row["ids"], "<i8"), codes, factors, np.array([x["query_id"] for x in asked], np.int64), np.array([x["q"] for x in asked], np.float64), np.array(row["centroid"], np.float64)
+    q_ids, q = untile(row["q_n"], row["q_ids"], row["q_data"])
+    return np.frombuffer(row["ids"], "<i8"), packed, factors, q_ids, q, np.frombuffer(row["centroid"], np.float64)
 
 
 def estimate(queries: DataFrame, codes: DataFrame, centroids: DataFrame, model: Model, nprobe: int, config: SearchConfig | None = None) -> DataFrame:
     """(query_id, vec_id, cluster_id, bound, fast, accurate) for every vector of the probed clusters."""
     config = config or SearchConfig()
-    estimator, padded = Estimator(model, config), model.padded
+    estimator = Estimator(model, config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, code, factors, q_ids, q, centroid = _decode(row, padded)
-                found = estimator.all(q, centroid, code, factors)
+            for row in rows_of_pairs(batch):
+                ids, packed, factors, q_ids, q, centroid = _decode(row)
+                found = estimator.packed(q, centroid, packed, factors)
                 cluster = np.full(len(q_ids) * len(ids), row["cluster_id"], np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, len(ids))), pa.array(np.tile(ids, len(q_ids))), pa.array(cluster), *(pa.array(f.ravel()) for f in found)], ["query_id", "vec_id", "cluster_id", "bound", "fast", "accurate"])
 
@@ -131,34 +276,26 @@ SEARCHED = "query_id long, vec_id long, dist double, fast_bits long, accurate_bi
 
 
 def _search(queries: DataFrame, codes: DataFrame, centroids: DataFrame, model: Model, k: int, nprobe: int, config: SearchConfig) -> DataFrame:
-    estimator, padded, ip = Estimator(model, config), model.padded, config.distance == IP
-    bits = [(s.length, s.length * max(0, s.bits - 1)) for s in model.segments if s.bits]
+    estimator, ip = Estimator(model, config), config.distance == IP
+    bits = [(s.length, s.length * (s.bits - 1)) for s in model.segments if s.bits]
     short, long = sum(b for b, _ in bits), sum(b for _, b in bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, code, factors, q_ids, q, centroid = _decode(row, padded)
-                bound, fast, accurate = estimator.all(q, centroid, code, factors)
-                sign = -1.0 if ip else 1.0
+            for row in rows_of_pairs(batch):
+                ids, packed, factors, q_ids, q, centroid = _decode(row)
                 k_here = min(k, len(ids))
-                passed = np.ones(accurate.shape, bool)
-                looked = np.ones(accurate.shape, bool)
                 if config.prune:
-                    # The k-th best of the k nearest by bound is a threshold that the whole tile must beat.
-                    near = np.argpartition(sign * bound, k_here - 1, axis=1)[:, :k_here]
-                    bar = (sign * np.take_along_axis(accurate, near, axis=1)).max(axis=1, keepdims=True)
-                    looked = sign * bound <= bar
-                    passed = looked & (sign * fast <= bar)
-                    np.put_along_axis(looked, near, True, axis=1)
-                    np.put_along_axis(passed, near, True, axis=1)
-                value = np.where(passed, accurate, np.inf * sign)
+                    value, read_top, read_rest = estimator.pruned(q, centroid, packed, factors, k_here)
+                    costs = read_top.sum(axis=1), read_rest.sum(axis=1)
+                else:
+                    value = estimator.packed(q, centroid, packed, factors)[2]
+                    costs = np.full(len(q_ids), len(ids) * short), np.full(len(q_ids), len(ids) * long)
                 at = leading(value, ids, k_here, config.distance)
                 columns = [np.repeat(q_ids, k_here), ids[at].ravel(), np.take_along_axis(value, at, axis=1).ravel()]
                 # What a tile cost is told once a query, with its first row.
-                lead = np.zeros((len(q_ids), k_here), np.int64)
-                for n in (looked.sum(axis=1) * short, passed.sum(axis=1) * long, np.full(len(q_ids), len(ids))):
-                    lead = lead.copy()
+                for n in (*costs, np.full(len(q_ids), len(ids))):
+                    lead = np.zeros((len(q_ids), k_here), np.int64)
                     lead[:, 0] = n
                     columns.append(lead.ravel())
                 keep = np.isfinite(columns[2]) | (columns[5] > 0)
@@ -171,7 +308,9 @@ def search(queries: DataFrame, codes: DataFrame, centroids: DataFrame, model: Mo
     """(query_id, rank, vec_id, dist): the best ``k`` by accurate estimate among the probed clusters.
 
     A tile leaves at most k rows a query, and the ranking is limited again
-    before its shuffle.  With ``prune`` the bounds leave out what they can.
+    before its shuffle.  With ``prune`` codes are read only where the bounds
+    leave a vector in the run; the bar is a tile's own, so results do not hang
+    on the order of tiles.
     """
     config = config or SearchConfig()
     found = _search(queries, codes, centroids, model, k, nprobe, config)
@@ -195,17 +334,15 @@ def partial_search(queries: DataFrame, vectors: DataFrame, assigned: DataFrame,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                own, x = untile(row["n"], row["ids"], row["data"])
-                asked = sorted(row["asked"], key=lambda a: a["query_id"])
-                q_ids, q = np.array([a["query_id"] for a in asked], np.int64), np.array([a["q"] for a in asked], np.float64)
-                x = x.copy()
-                x[:, exact_dims:] = np.array(row["centroid"])[exact_dims:]
-                d = distances(x, q, kind)
-                at = leading(d, own, min(k, len(own)), kind)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, at.shape[1])), pa.array(own[at].ravel()), pa.array(np.take_along_axis(d, at, axis=1).ravel())], ["query_id", "vec_id", "dist"])
-
-    pairs = packed.join(query_tiles(queries, probes, centroids), "cluster_id")
+            for row in rows_of_pairs(batch):
+                (own, x), (q_ids, q) = untile(row["n"], row["ids"], row["data"]), untile(row["q_n"], row["q_ids"], row["q_data"])
+                if exact_dims < x.shape[1]:
+                    x = x.copy()
+                    x[:, exact_dims:] = np.frombuffer(row["centroid"], np.float64)[exact_dims:]
+                at, d = nearest(x, q, own, k, kind)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, at.shape[1])), pa.array(own[at].ravel()), pa.array(d.ravel())], ["query_id", "vec_id", "dist"])
+
+    pairs = meet(packed, query_tiles(queries, probes, centroids), members.select("cluster_id"), sent(queries, nprobe))
     return ranked(pairs.mapInArrow(run, "query_id long, vec_id long, dist double"), k, kind)
 
 

@@ -6,7 +6,6 @@ clusters and their means the centroids.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import partial
 
@@ -19,12 +18,13 @@ from .operators.index import Index
 from .plans.bits import equal_plan, planned
 from .plans.config import IP, L2, CodeConfig, QuantizeConfig, SearchConfig, real_bits
 from .plans.model import Model
-from .sources import vecfiles
+from .sources import index_store, scratch, vecfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 K, NPROBE, BITS, DIMS = 10, 3, 4, 64
 PLAIN = QuantizeConfig(avg_bits=BITS, segmentation=False, code=CodeConfig(rotate=False, adjust=False))
+PLAIN_IP = QuantizeConfig(avg_bits=BITS, segmentation=False, distance=IP, code=CodeConfig(rotate=False, adjust=False))
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -432,7 +432,7 @@ def fast_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT pi.query_id, f.vec_id, {R.format('(o2 / ip) * list_inner_product(q.v, a) + list_inner_product(q.v, c.centroid)')} AS accurate, {R.format(IP_OF.format('q.v', 'e.v'))} AS real FROM pi JOIN q USING (query_id) JOIN f USING (cluster_id) JOIN c USING (cluster_id) JOIN e ON e.vec_id = f.vec_id",
 )
 def sq_estimate_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = estimates(spark, sf_dir, QuantizeConfig(avg_bits=BITS, segmentation=False, distance=IP, code=CodeConfig(rotate=False, adjust=False)))
+    found = estimates(spark, sf_dir, PLAIN_IP)
     return found.select("query_id", "vec_id", rounded("accurate").alias("accurate"), rounded("real").alias("real"))
 
 
@@ -454,6 +454,60 @@ def prune_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.prune_rate(search_metrics(spark, sf_dir), DIMS, BITS).select(rounded("prune_rate").alias("prune_rate"))
 
 
+@query(
+    "bounds_ip",
+    f"WITH {C}, pi AS (SELECT query_id, cluster_id FROM (SELECT query_id, cluster_id, row_number() OVER (PARTITION BY query_id ORDER BY {IP_OF.format('q.v', 'centroid')} DESC, cluster_id) AS r FROM q, c) WHERE r <= {NPROBE}), {VAR}, {CODES}, "
+    f"x AS (SELECT pi.query_id, f.vec_id, f.o2, list_inner_product(q.v, c.centroid) AS qc, sqrt(list_inner_product(q.v, q.v)) AS length, list_sum(q.v) AS s, "
+    f"list_sum(list_transform(range(1, {DIMS + 1}), lambda i: CASE WHEN f.code[i] >= {2 ** (BITS - 1)} THEN q.v[i] ELSE 0 END)) AS hit, "
+    f"(SELECT 4 * sqrt(list_sum(list_transform(range(1, {DIMS + 1}), lambda i: s[i] * q.v[i] * q.v[i]))) FROM var) AS spread FROM pi JOIN q USING (query_id) JOIN f USING (cluster_id) JOIN c USING (cluster_id)) "
+    f"SELECT query_id, vec_id, {R.format('qc - spread')} AS bound, {R.format(f'qc + 0.5 * (hit - (0.5 * s - 0.58 * length)) * 4 / (0.8 * sqrt({DIMS})) * sqrt(o2)')} AS fast FROM x",
+)
+def bounds_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bound and fast estimate of inner products."""
+    codes, c, model = plain_codes(spark, sf_dir, PLAIN_IP)
+    found = search.estimate(asked(spark, sf_dir), codes, c, model, NPROBE, SearchConfig(IP))
+    return found.select("query_id", "vec_id", rounded("bound").alias("bound"), rounded("fast").alias("fast"))
+
+
+HALF = DIMS // 2
+
+
+@query(
+    "segmented_estimate",
+    f"""WITH {C}, {PROBE},
+o AS (SELECT vec_id, cluster_id, h, list_transform(range(1, {HALF + 1}), lambda i: v[{HALF} * h + i] - centroid[{HALF} * h + i]) AS o FROM e JOIN c ON label = cluster_id, (VALUES (0), (1)) AS t(h)),
+m AS (SELECT *, list_max(list_transform(o, lambda x: abs(x))) AS top FROM o),
+k AS (SELECT *, list_transform(o, lambda x: CASE WHEN top > 0 THEN least(floor((x + top) / (2 * top / {2**BITS})), {2**BITS - 1}) ELSE 0 END) AS code FROM m),
+a AS (SELECT *, list_transform(code, lambda x: (x + 0.5) * 2 / {2**BITS} - 1) AS a FROM k),
+f AS (SELECT vec_id, cluster_id, h, a, list_inner_product(o, o) AS o2, list_inner_product(o, a) AS ip FROM a),
+x AS (SELECT p.query_id, f.vec_id, f.o2, f.ip, f.a, list_transform(range(1, {HALF + 1}), lambda i: q.v[{HALF} * f.h + i] - c.centroid[{HALF} * f.h + i]) AS r FROM p JOIN q USING (query_id) JOIN f USING (cluster_id) JOIN c USING (cluster_id))
+SELECT query_id, vec_id, {R.format('sum(o2 + list_inner_product(r, r) - 2 * (o2 / ip) * list_inner_product(r, a))')} AS accurate FROM x GROUP BY query_id, vec_id""",
+)
+def segmented_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates summed over two segments, each with its own grid and factors."""
+    config = QuantizeConfig(avg_bits=BITS, equal_segments=2, dim_block=HALF, code=CodeConfig(rotate=False, adjust=False))
+    codes, c, model = plain_codes(spark, sf_dir, config)
+    found = search.estimate(asked(spark, sf_dir), codes, c, model, NPROBE)
+    return found.select("query_id", "vec_id", rounded("accurate").alias("accurate"))
+
+
+@query("pruned_metrics", f"WITH {C}, {PROBE} SELECT query_id, count(*) AS compared, true AS reads_no_more FROM p JOIN e ON label = cluster_id GROUP BY query_id")
+def pruned_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With pruning every vector is compared by its bound, and a query reads no bit twice; that bits stay unread is ``pruned_rate``."""
+    codes, c, model = plain_codes(spark, sf_dir)
+    found = search.search_metrics(asked(spark, sf_dir), codes, c, model, K, NPROBE, SearchConfig(prune=True))
+    within = (F.col("fast_bits") <= F.col("compared") * DIMS) & (F.col("accurate_bits") <= F.col("fast_bits") * (BITS - 1))
+    return found.select("query_id", "compared", within.alias("reads_no_more"))
+
+
+@query("pruned_rate", "SELECT true AS pruned")
+def pruned_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of bits that pruning leaves unread lies between 0 and 1."""
+    codes, c, model = plain_codes(spark, sf_dir)
+    found = search.search_metrics(asked(spark, sf_dir), codes, c, model, K, NPROBE, SearchConfig(prune=True))
+    return evaluate.prune_rate(found, DIMS, BITS).select(((F.col("prune_rate") > 0) & (F.col("prune_rate") < 1)).alias("pruned"))
+
+
 # ---- evaluation -----------------------------------------------------------
 
 TRUTH = f"t AS ({sql_ranked(KNN_L2, 'd', K)}), s AS ({sql_ranked(IVF, 'd', K)})"
@@ -548,6 +602,89 @@ def pca_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_result(index.search(transforms.rotate(asked(spark, sf_dir), axes, mean), K, NPROBE))
 
 
+def enough(found: DataFrame, truth: DataFrame, least: float) -> DataFrame:
+    """(of, enough): whether the recall of ``found`` reaches ``least``."""
+    return evaluate.recall(found, truth, K).select("of", (F.col("recall") >= least).alias("enough"))
+
+
+#: Of the ten nearest that a search without codes finds in the same clusters, this share must be found from four bits a dimension.
+LEAST_RECALL = 0.85
+RECALL_SQL = f"SELECT count(*) * {K} AS of, true AS enough FROM embeddings"
+
+
+@query("planned_recall", RECALL_SQL)
+def planned_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotated, adjusted codes of planned segments against raw vectors, three clusters probed by both."""
+    return enough(planned_search(spark, sf_dir), ivf(spark, sf_dir), LEAST_RECALL)
+
+
+@query("planned_recall_ip", RECALL_SQL)
+def planned_recall_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, members, c = labelled(spark, sf_dir)
+    truth = search.partial_search(asked(spark, sf_dir), v.select("vec_id", "embedding"), members, c, K, NPROBE, DIMS, IP)
+    return enough(planned_search_ip(spark, sf_dir), truth, LEAST_RECALL)
+
+
+@query("one_centroid_recall", RECALL_SQL)
+def one_centroid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals to one mean; all clusters probed, so the truth is exact search."""
+    return enough(one_centroid_search(spark, sf_dir), knn.exact_knn(base(spark, sf_dir), asked(spark, sf_dir), K), LEAST_RECALL)
+
+
+@query("pca_recall", RECALL_SQL)
+def pca_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of vectors turned to their principal axes."""
+    return enough(pca_search(spark, sf_dir), ivf(spark, sf_dir), LEAST_RECALL)
+
+
+@query("pruned_recall", RECALL_SQL)
+def pruned_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pruning against the same codes without it."""
+    return enough(pruned_search(spark, sf_dir), planned_search(spark, sf_dir), 0.95)
+
+
+@query("kmeans_error", "SELECT 10 AS clusters, count(*) AS members, true AS better FROM embeddings")
+def kmeans_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained centroids leave a smaller squared distance than those they started from; every vector has its place."""
+    v = base(spark, sf_dir)
+    error = lambda c: clustering.assign(v, c).agg(F.count("*").alias("members"), F.countDistinct("cluster_id").cast("int").alias("clusters"), F.sum(F.col("dist") ** 2).alias("error"))
+    trained, start = error(clustering.train(v, 10)), error(clustering.train(v, 10, rounds=0))
+    return trained.crossJoin(start.select(F.col("error").alias("first"))).select("clusters", "members", (F.col("error") < F.col("first")).alias("better"))  # one row each
+
+
+@query("uneven_codes", "SELECT count(*) > 0 AS compared, true AS accurate_beats_fast, true AS segments_help FROM embeddings")
+def uneven_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where variance falls by blocks, planned segments have a smaller error than one, and the accurate estimate than the fast."""
+    v, _, _ = labelled(spark, sf_dir)
+    scale = F.array(*(F.lit(0.5 ** (i // 16)) for i in range(DIMS)))
+    v = v.withColumn("embedding", F.zip_with(F.col("embedding").cast("array<double>"), scale, lambda x, y: x * y))
+    c, q = clustering.label_centroids(v), v.select(F.col("vec_id").alias("query_id"), "embedding")
+    members = v.select("vec_id", F.col("label").alias("cluster_id"))
+    found = {}
+    for name, config in (("planned", FULL), ("one", QuantizeConfig(avg_bits=BITS, segmentation=False))):
+        model = Model.fit(transforms.variances(v), config)
+        both = search.estimate(q, quantize.encode(v, members, c, model), c, model, NPROBE).join(v.select("vec_id", "embedding"), "vec_id")
+        both = both.join(q.select("query_id", F.col("embedding").alias("q")), "query_id").withColumn("real", V.squared_distance("q", "embedding")).where("real > 1e-9")
+        found[name] = both.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("accurate") - F.col("real"))).alias(f"{name}_accurate"), F.avg(F.abs(F.col("fast") - F.col("real"))).alias(f"{name}_fast"))
+    both = found["planned"].crossJoin(found["one"].drop("n"))  # one row each
+    return both.select((F.col("n") > 0).alias("compared"), (F.col("planned_accurate") < F.col("planned_fast")).alias("accurate_beats_fast"), (F.col("planned_accurate") < F.col("one_accurate")).alias("segments_help"))
+
+
+@query("code_bytes", f"SELECT count(*) AS n, {DIMS * BITS // 8} AS code_bytes FROM embeddings")
+def code_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes take the bits that were asked for."""
+    codes, _, _ = plain_codes(spark, sf_dir)
+    return codes.agg(F.count("*").alias("n"), F.max(F.length("code")).alias("code_bytes"))
+
+
+@query("axes_round_trip", f"SELECT {DIMS + 1} AS n, 0 :: BIGINT AS changed")
+def axes_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, (mean, axes) = scratch.folder(spark, "axes"), transforms.principal_axes(base(spark, sf_dir))
+    index_store.save_axes(spark, path, mean, axes)
+    again = index_store.load_axes(spark, path)
+    return spark.createDataFrame([(1 + len(again[1]), int((again[0] != mean).sum() + (again[1] != axes).sum()))], "n int, changed long")
+
+
 @query("code_error_by_bits", "SELECT * FROM (VALUES (1, true), (2, true), (4, true), (8, true)) AS t(bits, smaller)")
 def code_error_by_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean relative error falls as bits rise."""
@@ -562,7 +699,7 @@ def code_error_by_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("index_round_trip", "SELECT count(*) AS n, 0 :: BIGINT AS changed FROM embeddings")
 def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = "file://" + tempfile.mkdtemp(prefix="index-")
+    path = scratch.folder(spark, "index")
     index = built(spark, sf_dir)
     index.save(path)
     codes = Index.load(spark, path).codes
@@ -571,8 +708,8 @@ def index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_round_trip(suffix: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tempfile.mkdtemp(prefix="vecs-") + "/base" + suffix
-    vecfiles.write(base(spark, sf_dir), path)
+    path = scratch.folder(spark, "vecs") + suffix
+    vecfiles.write_parts(base(spark, sf_dir), path)
     return exploded(vecfiles.read(spark, path), F.col("embedding").cast("array<double>"))
 
 

@@ -35,3 +35,15 @@ def load(spark: SparkSession, path: str) -> tuple[Model, DataFrame, DataFrame]:
     segments = [Segment(r["dim_offset"], r["dim_len"], r["bits"]) for r in rows]
     turns = [None if r["rotation"] is None else np.array(r["rotation"]) for r in rows]
     return Model(config, head["dims"], variance, segments, turns), spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/codes")
+
+
+def save_axes(spark: SparkSession, path: str, mean: np.ndarray, axes: np.ndarray) -> None:
+    """Principal axes as a table: row -1 is the mean, row i the i-th row of the matrix."""
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate([mean, *axes], -1)]
+    spark.createDataFrame(rows, "row int, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_axes(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, axes); a d by d model."""
+    rows = [np.array(r["values"]) for r in spark.read.parquet(path).orderBy("row").collect()]
+    return rows[0], np.array(rows[1:])
