@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, exact_dedup, html_extract, mixing, near_dup, packing, pii, suffix_dedup, toxicity
+from . import ann, chat, exact_dedup, html_extract, invariants, mixing, near_dup, packing, pii, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_html": html_extract.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_chat": chat.query,
     "op10_toxicity": toxicity.query,
+    **invariants.QUERIES,
 }
 ORACLE_SQL = {
     "op1_html": html_extract.ORACLE,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op7_near_dup": near_dup.ORACLE,
     "op9_chat": chat.ORACLE,
+    **invariants.SQL,
 }
