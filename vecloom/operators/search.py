@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.config import IP, L2, SearchConfig
 from ..plans.model import Model
-from .knn import exact_knn, leading, nearest, ranked
+from .knn import distances, exact_knn, leading, nearest, ranked
 from .quantize import Layout
 from .tiles import SMALL_BYTES, TILE, matrix, untile
 
@@ -346,6 +346,21 @@ def partial_search(queries: DataFrame, vectors: DataFrame, assigned: DataFrame,
     return ranked(pairs.mapInArrow(run, "query_id long, vec_id long, dist double"), k, kind)
 
 
+def member_distances(queries: DataFrame, vectors: DataFrame, assigned: DataFrame, centroids: DataFrame, nprobe: int, kind: str = L2) -> DataFrame:
+    """(query_id, vec_id, real): the real distance, or product, to every vector of the probed clusters."""
+    packed = _member_tiles(vectors.join(assigned.select("vec_id", "cluster_id"), "vec_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of_pairs(batch):
+                (own, x), (q_ids, q) = untile(row["n"], row["ids"], row["data"]), untile(row["q_n"], row["q_ids"], row["q_data"])
+                middle = x.mean(axis=0) if kind == L2 else 0.0
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, len(own))), pa.array(np.tile(own, len(q_ids))), pa.array(distances(x - middle, q - middle, kind).ravel())], ["query_id", "vec_id", "real"])
+
+    pairs = meet(packed, query_tiles(queries, probe(queries, centroids, nprobe, kind), centroids), assigned.select("cluster_id"), sent(queries, nprobe))
+    return pairs.mapInArrow(run, "query_id long, vec_id long, real double")
+
+
 def _member_tiles(members: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -404,11 +404,9 @@ def cosine_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def estimates(spark: SparkSession, sf_dir: str, config: QuantizeConfig = PLAIN) -> DataFrame:
     """Estimates with the real distance beside them."""
     codes, c, model = plain_codes(spark, sf_dir, config)
-    q = asked(spark, sf_dir)
+    q, (v, members, _) = asked(spark, sf_dir), labelled(spark, sf_dir)
     found = search.estimate(q, codes, c, model, NPROBE, SearchConfig(config.distance))
-    both = found.join(base(spark, sf_dir).select("vec_id", "embedding"), "vec_id").join(q.select("query_id", F.col("embedding").alias("q")), "query_id")
-    real = V.squared_distance("q", "embedding") if config.distance == L2 else V.inner_product("q", "embedding")
-    return both.withColumn("real", real).drop("q", "embedding")
+    return found.join(search.member_distances(q, v.select("vec_id", "embedding"), members, c, NPROBE, config.distance), ["query_id", "vec_id"])
 
 
 @query("sq_estimate", f"{ALL} SELECT query_id, vec_id, {R.format('accurate')} AS accurate, {R.format('real')} AS real FROM z")
