@@ -125,7 +125,7 @@ def test_templates_are_found_on_the_tables(spark):
     tags = {html_extract.tag_token(t): t for t in ("/html", "/body", "/body/nav", "/body/article", "/body/article/h1", "/body/footer")}
     for r in found:
         assert [tags[t] for t in r["skeleton"] if t in tags] == list(tags.values())
-        assert r["placed"] >= 1
+        assert r["placed"] >= 2  # the frame, and the items of its menu
 
 
 def test_classes_nest_in_gaps():

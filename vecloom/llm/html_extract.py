@@ -7,8 +7,9 @@ equivalence class.  Vectors are compared by fingerprints, sums over pages of a
 hash of the page times the count, so they add up in any order, combine before
 the shuffle and never bring a host's pages together.
 
-Template: a class is valid when enough pages of the host hold it, a tag is in it
-and its tokens have an order.  Valid classes are nested: the class of the page
+Template: a class is valid when enough pages of the host hold it, a tag is in it,
+its tokens have an order and it is as often on each page or, as the parts of
+list items are, of several tags.  Valid classes are nested: the class of the page
 as a whole, once on each page, is the root; another class belongs into the one
 gap of a class already placed that holds all of it, the smallest there is, and
 is dropped where no gap does.  What remains between the tokens of nested classes
@@ -327,8 +328,9 @@ def build_template(frame: pd.DataFrame) -> pd.DataFrame:
     tokens = frame[frame["kind"] != SLOT_KIND].sort_values(["place", "kind", "token"], kind="stable")
     classes = []
     for _, c in tokens.groupby(["f1", "f2", "pages", "times"], sort=False):
-        whole = int(c["times"].iloc[0]) % int(c["pages"].iloc[0]) == 0
-        if (c["kind"] == TAG_KIND).any() and whole and c["place"].nunique() * 2 > len(c):
+        tags, whole = int((c["kind"] == TAG_KIND).sum()), int(c["times"].iloc[0]) % int(c["pages"].iloc[0]) == 0
+        # As often on each page, or, as the parts of a list's items are, several tags that vary together.
+        if tags and (whole or tags > 1) and c["place"].nunique() * 2 > len(c):
             classes.append(c)
     if not classes:
         return pd.DataFrame({"host": [], "constant": [], "menus": [], "skeleton": [], "placed": []})
