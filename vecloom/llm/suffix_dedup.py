@@ -18,7 +18,7 @@ bucket exactly where their first ``length`` bytes are equal.
 Rounds: documents are dealt into batches of about ``batch_bytes``.  A batch
 tells each bucket only once, whatever its number of copies inside, so a string
 that a third of all documents hold costs one row a batch, never a row a copy.
-Between batches a bucket goes by a name of 128 bits.  Tasks sort what the batches
+Between batches a bucket goes by a name of 96 bits.  Tasks sort what the batches
 send by these names and answer each batch.
 
 1. owner names: which occur in more than one batch;
@@ -57,8 +57,8 @@ BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 SLAB_BYTES = 1 << 18
 #: Batches to a task.
 TOGETHER = 4
-#: The other half of a name.
-OTHER = np.uint64(0xA0761D6478BD642F)
+#: The other part of a name, of which 32 bits are sent.
+OTHER, PART = np.uint64(0xA0761D6478BD642F), np.uint64(0xFFFFFFFF)
 NO_ID = (1 << 63) - 1
 U = np.uint64
 
@@ -203,16 +203,25 @@ def shares(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 def deal(kind: str, batch: int, buckets: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[str, int, int, bytes]]:
     """Messages of sorted ``keys``, cut where the bucket changes."""
     for b, i, j in shares(keys, buckets):
-        yield kind, b, batch, b"".join(c[i:j].tobytes() for c in (keys, *columns))
+        yield kind, b, batch, packed(*(c[i:j] for c in (keys, *columns)))
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte numbers, each as its highest bytes, its next ones and so on, compressed: what sorted names and small ids share lies together."""
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T[::-1].tobytes() for c in columns)
+    return struct.pack("<q", len(raw)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
-    n = len(blob) // (8 * columns)
-    return [np.frombuffer(blob, np.uint64 if i == 0 else np.int64, n, i * n * 8) for i in range(columns)]
+    """The columns back, the first unsigned."""
+    raw = pa.Codec("zstd", 1).decompress(blob[8:], struct.unpack("<q", blob[:8])[0], asbytes=True)
+    n = len(raw) // (8 * columns)
+    planes = np.frombuffer(raw, np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(p[::-1].T).reshape(-1).view(np.uint64 if i == 0 else np.int64) for i, p in enumerate(planes)]
 
 
 def answer(kind: str, blobs: list[bytes]) -> list[bytes]:
-    """What a bucket answers to each batch: bits for names (n: in several batches, m: several surroundings), ids for a and s, whose names have two halves."""
+    """What a bucket answers to each batch: bits for names (n: in several batches, m: several surroundings), ids for a and s, whose names have two parts."""
     parts = [unpack(b, {"n": 1, "m": 3, "a": 3, "s": 3}[kind]) for b in blobs]
     keys = np.concatenate([p[0] for p in parts])
     if kind == "n":
@@ -225,7 +234,7 @@ def answer(kind: str, blobs: list[bytes]) -> list[bytes]:
     order, begins, place = grouped(keys, np.concatenate([p[1] for p in parts]))
     ids = least_of(order, begins, np.concatenate([p[2] for p in parts]))[place]
     cut = np.cumsum([len(p[0]) for p in parts])[:-1]
-    return [x.tobytes() for x in np.split(ids, cut)]
+    return [packed(x) for x in np.split(ids, cut)]
 
 
 class Batch:
@@ -255,7 +264,7 @@ class Batch:
         return out
 
     def ids(self, kind: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, np.int64) for _, x in sorted(self.answers.get(kind, {}).items())] or [np.zeros(0, np.int64)])
+        return np.concatenate([unpack(x, 1)[0].view(np.int64) for _, x in sorted(self.answers.get(kind, {}).items())] or [np.zeros(0, np.int64)])
 
     def settle_owners(self) -> None:
         """Keeps the owners whose names other documents have, with the strings each owns and all text around it."""
@@ -286,13 +295,14 @@ class Batch:
         self.first, self.end, self.doc, self.own_group = first, end, self.docs[text[chosen]], self.group[chosen]
         extent = ((where - first) * 4096 + (end - first)).astype(np.uint64)
         self.around, other = (pair(pair(names_of(self.word, first, self.length, x), names_of(self.word, end, self.length, x)), extent) for x in (U(0), OTHER))
-        # Each surrounding by its name's two halves: its place in order, and the least document here that has it.
+        other &= PART
+        # Each surrounding by its name's two parts: its place in order, and the least document here that has it.
         order, begins, self.place = grouped(self.around, other)
         self.least = least_of(order, begins, self.doc)
         self.out = self.abroad[self.own_group]
         known = order[begins]
         self.sent = np.flatnonzero(self.out[known])
-        self.halves = self.around[known][self.sent], other[known][self.sent]
+        self.parts = self.around[known][self.sent], other[known][self.sent]
 
     def send(self, round_: int) -> Iterator[tuple[str, int, int, bytes]]:
         if round_ == 1:
@@ -303,7 +313,7 @@ class Batch:
             around = self.around[self.out]
             signed = around.view(np.int64)
             yield from deal("m", self.number, self.buckets, *least_by(self.names[self.own_group[self.out]], (np.minimum, signed), (np.maximum, signed)))
-            yield from deal("a", self.number, self.buckets, *self.halves, self.least[self.sent])
+            yield from deal("a", self.number, self.buckets, *self.parts, self.least[self.sent])
             return
         self.hear()
         yield from deal("s", self.number, self.buckets, *self.told())
@@ -320,7 +330,7 @@ class Batch:
         self.several = several[self.own_group]
 
     def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets of single strings, by name: both halves and the smallest document here. The document that holds a surrounding first tells for all that hold it."""
+        """Buckets of single strings, by name: both parts and the smallest document here. The document that holds a surrounding first tells for all that hold it."""
         chosen = np.flatnonzero(self.several & (self.smallest == self.doc))
         first, end = self.first[chosen], self.end[chosen]
         self.refined = Refined(self.word, first, end, self.length)
@@ -330,6 +340,7 @@ class Batch:
         begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), buckets[order][1:] != buckets[order][:-1]]))
         of = places[order[begins]]
         one, two = (names_of(self.word, of, self.length, x) for x in (U(0), OTHER))
+        two &= PART
         by_name = np.lexsort((two, one))
         #: The bucket that each name told stands for.
         self.told_bucket = by_name
