@@ -104,7 +104,7 @@ def inside(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
     marks = np.zeros(size + 1, np.int32)
     np.add.at(marks, first, 1)
     np.add.at(marks, last + 1, -1)
-    return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+    return np.flatnonzero(np.cumsum(marks[:-1], out=marks[:-1]) > 0)
 
 
 class Refined:
@@ -363,7 +363,7 @@ class Batch:
         starts = starts[smallest[self.refined.of(starts)] < doc]
         np.add.at(marks, starts, 1)
         np.add.at(marks, starts + self.length, -1)
-        gone = np.cumsum(marks[:-1]) > 0
+        gone = np.cumsum(marks[:-1], out=marks[:-1]) > 0
         for begin, end in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
             body, mask = self.data[begin:end], gone[begin:end]
             removed = int(mask.sum())
