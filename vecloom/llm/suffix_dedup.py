@@ -27,8 +27,8 @@ send by these names and answer each batch.
 3. where an owner has several, the buckets of its single strings, refined, told
    once for each different surrounding: the smallest doc_id of each.
 
-Then each batch marks and cuts its own documents.  Tasks of a round number as
-many as the batches ask for, not as a setting says, so a task's share stays the
+Then each batch marks and cuts its own documents.  A round has a task for each
+batch, whatever a setting says, so a task's share stays the
 same at any size; messages number at most batches times buckets.
 
 Defined results: null text is empty.  Null doc_id comes after all others.  Rows
@@ -53,10 +53,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, bound_batches, mix64, parallelism, read, utf8, whole_groups
 
 LENGTH, QGRAM = 50, 20
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES = BUCKET_BYTES = 8 << 20
 SLAB_BYTES = 1 << 18
-#: Batches to a task.
-TOGETHER = 4
 #: The other part of a name, of which 32 bits are sent.
 OTHER, PART = np.uint64(0xA0761D6478BD642F), np.uint64(0xFFFFFFFF)
 NO_ID = (1 << 63) - 1
@@ -436,7 +434,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, qgram: int = QGRAM, ba
     batches = scratch.put(docs.mapInArrow(_collect(batch_bytes), BATCHES), "batches")
     count = batches.count()
     buckets = max(1, -(-count * batch_bytes // bucket_bytes))
-    n = max(parallelism(spark), -(-count // TOGETHER))
+    n = max(parallelism(spark), count)  # tasks of a batch or a few, at any size
     own = batches.select(F.lit("").alias("kind"), F.lit(-1).cast("long").alias("bucket"), "batch", F.col("body").alias("blob"), "doc_ids", "lengths")
     heard: DataFrame = own
 
