@@ -39,8 +39,9 @@ class Index:
         index.save(path)
         return cls.load(vectors.sparkSession, path)
 
-    def search(self, queries: DataFrame, k: int, nprobe: int, config: SearchConfig | None = None) -> DataFrame:
-        return search.search(queries, self.codes, self.centroids, self.model, k, nprobe, config or SearchConfig(self.model.config.distance))
+    def search(self, queries: DataFrame, k: int, nprobe: int, config: SearchConfig | None = None, vectors: DataFrame | None = None) -> DataFrame:
+        """By codes; with the ``vectors`` that the index was built from, the best by codes are ranked by their real distances."""
+        return search.search(queries, self.codes, self.centroids, self.model, k, nprobe, config or SearchConfig(self.model.config.distance), vectors)
 
     def estimate(self, queries: DataFrame, nprobe: int, config: SearchConfig | None = None) -> DataFrame:
         return search.estimate(queries, self.codes, self.centroids, self.model, nprobe, config or SearchConfig(self.model.config.distance))
