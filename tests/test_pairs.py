@@ -61,3 +61,18 @@ def test_code_error_by_bits_joins_pairs_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(evaluate, "summary", lambda df, column, f=evaluate.summary: (seen.append(pair_joins(df)), f(df, column))[1])
     assert all(r["smaller"] for r in queries.QUERIES["code_error_by_bits"](spark, sf_dir).collect())
     assert seen == [[]] * 4
+
+
+def test_pair_products_of_odd_rows(spark):
+    """Null vectors, far vectors that nearly agree, and components that are no numbers; rows as many as pairs."""
+    rows = [(0, [1e6, 1.0]), (1, [1e6, 1.001]), (2, None), (3, [0.5, -2.0]), (4, [float("inf"), 0.0]), (5, [float("nan"), 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r[0], r[1]): (r[2], r[3]) for r in knn.pair_products(v, v.withColumnRenamed("vec_id", "query_id"), 6).collect()}
+    assert len(found) == 36
+    assert found[0, 1] == (1e12 + 1.001, 1e-6) and found[3, 3] == (4.25, 0.0)
+    assert all(found[a, b] == (None, None) for a, b in found if 2 in (a, b))
+    assert found[3, 4][1] == float("inf") and np.isnan(found[3, 5]).all() and not np.isnan(found[3, 0]).any()
+
+
+def test_pair_products_by_tiles(spark, sf_dir):
+    assert "MapInArrow" in plan_of(queries.QUERIES["pair_products"](spark, sf_dir))
