@@ -81,3 +81,7 @@ def test_pair_products_by_tiles(spark, sf_dir):
 def test_uneven_codes_reads_no_pair_again(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries.V, "squared_distance", None)  # row by row, over all pairs
     assert queries.QUERIES["uneven_codes"](spark, sf_dir).collect() == [(True, True, True)]
+
+
+def test_fast_bound_is_lean(spark, sf_dir):
+    assert is_lean(queries.QUERIES["fast_bound"](spark, sf_dir))
