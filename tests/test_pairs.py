@@ -101,3 +101,7 @@ def test_members_come_in_lists(spark, monkeypatch, small):
 
 def test_relative_error_histogram_joins_pairs_once(spark, sf_dir):
     assert not pair_joins(queries.QUERIES["relative_error_histogram"](spark, sf_dir))
+
+
+def test_relative_error_stats_joins_pairs_once(spark, sf_dir):
+    assert not pair_joins(queries.QUERIES["relative_error_stats"](spark, sf_dir))
