@@ -109,3 +109,7 @@ def test_relative_error_stats_joins_pairs_once(spark, sf_dir):
 
 def test_signed_error_joins_pairs_once(spark, sf_dir):
     assert not pair_joins(queries.QUERIES["signed_error"](spark, sf_dir))
+
+
+def test_sq_estimate_is_lean(spark, sf_dir):
+    assert is_lean(queries.QUERIES["sq_estimate"](spark, sf_dir))
