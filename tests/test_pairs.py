@@ -117,3 +117,7 @@ def test_sq_estimate_is_lean(spark, sf_dir):
 
 def test_variance_bound_is_lean(spark, sf_dir):
     assert is_lean(queries.QUERIES["variance_bound"](spark, sf_dir))
+
+
+def test_sq_estimate_ip_is_lean(spark, sf_dir):
+    assert is_lean(queries.QUERIES["sq_estimate_ip"](spark, sf_dir))
