@@ -121,3 +121,7 @@ def test_variance_bound_is_lean(spark, sf_dir):
 
 def test_sq_estimate_ip_is_lean(spark, sf_dir):
     assert is_lean(queries.QUERIES["sq_estimate_ip"](spark, sf_dir))
+
+
+def test_segmented_estimate_is_lean(spark, sf_dir):
+    assert is_lean(queries.QUERIES["segmented_estimate"](spark, sf_dir))
