@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecloom import queries
-from vecloom.operators import evaluate, knn, quantize, search
+from vecloom.operators import evaluate, knn, quantize, search, tiles
 from vecloom.plans.config import IP, L2, QuantizeConfig, SearchConfig
 from vecloom.plans.model import Model
 
@@ -152,3 +153,23 @@ def test_planned_recall_where_many_lie_as_near(spark, crowded):
 
 def test_planned_recall_ip_where_many_lie_as_near(spark, crowded):
     assert queries.QUERIES["planned_recall_ip"](spark, crowded).collect() == [(6000, True)]
+
+
+def test_vectors_of_queries_move_once_with_their_probes(spark, sf_dir):
+    plan = queries.QUERIES["relative_error_stats"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan
+
+
+@pytest.mark.parametrize(("kind", "moved"), [("float", "array<float>"), ("double", "array<double>"), ("int", "array<double>")])
+def test_vectors_move_as_they_are_stored(spark, kind, moved):
+    """Floats are widened after the shuffle, with equal results."""
+    rows = [(i, [i % 7 - 3.0, i % 5 + 0.0, 2.0 - i % 3]) for i in range(40)]
+    v = spark.createDataFrame([*rows, (40, None)], "vec_id long, embedding array<double>").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    assert dict(v.select(tiles.compact(v, "embedding").alias("x")).dtypes)["x"] == moved
+    members = spark.createDataFrame([(i, i % 2) for i in range(41)], "vec_id long, cluster_id int")
+    c = spark.createDataFrame([(0, [0.25, 0.5, 0.125]), (1, [1.0, 2.0, 0.5])], "cluster_id int, centroid array<double>")
+    model = Model.fit(np.ones(3), QuantizeConfig(avg_bits=4, segmentation=False))
+    asked = v.where("vec_id < 9").withColumnRenamed("vec_id", "query_id")
+    found = search.estimate(asked, quantize.encode(v, members, c, model), c, model, 2, SearchConfig(L2), v, ("real",)).collect()
+    at = {i: np.array(x) for i, x in rows}
+    assert len(found) == 9 * 40 and all(r["real"] == pytest.approx(((at[r["query_id"]] - at[r["vec_id"]]) ** 2).sum(), abs=1e-9) for r in found)

@@ -23,7 +23,7 @@ from ..plans.bits import Segment
 from ..plans.config import MAX_BITS, CodeConfig
 from ..plans.model import Model
 from .clustering import centroid_table
-from .tiles import SMALL_BYTES, matrix
+from .tiles import SMALL_BYTES, compact, matrix
 
 #: Fixed value: the spread of the error bound.
 ERROR_WIDTH = 1.9
@@ -181,7 +181,7 @@ def encode(vectors: DataFrame, assigned: DataFrame | None, centroids: DataFrame
     Encoding needs no shuffle: ``assigned`` is joined by id, centroids ship with
     the model while they are small and are joined beyond that.
     """
-    v = vectors.select(F.col(id_name).cast("long").alias("vec_id"), F.col(vector_name).cast("array<double>").alias("v")).where("v is not null")
+    v = vectors.select(F.col(id_name).cast("long").alias("vec_id"), compact(vectors, vector_name).alias("v")).where("v is not null")
     table, layout = None, Layout(model.segments)
     if assigned is None:
         v = v.select(F.lit(0).alias("cluster_id"), "vec_id", "v")

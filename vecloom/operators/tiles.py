@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 TILE = 2048
 #: What may be broadcast or shipped with a closure, in bytes.
@@ -20,6 +21,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def compact(df: DataFrame, name: str) -> Column:
+    """The vectors of a column as shuffles should move them: floats stay floats, half the bytes, since ``matrix`` widens them; else doubles."""
+    kind = df.schema[name].dataType
+    return F.col(name) if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else F.col(name).cast("array<double>")
+
+
 def rows_of(m: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64())) if len(m) else pa.array([], pa.list_(pa.float64()))
 
@@ -45,9 +52,9 @@ def untile(n: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, "<i8"), np.frombuffer(data, np.float64).reshape(n, -1)
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """``df`` dealt to as many tasks as shuffles have: few rows that stand for much work, which would else end in a task or two."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt to as many tasks as shuffles have, by columns if any: few rows that stand for much work, which would else end in a task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
