@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import exact_dedup, near_dup, suffix_dedup
 from vecloom.llm.common import Scratch, read
-from vecloom.llm.components import components
+from vecloom.llm.components import components, least_reached
 
 from .helpers import ODD, docs, rows_of, words
 
@@ -225,6 +225,65 @@ def test_components(spark):
     assert all(got[b] == 100 for a, b in edges if a == 100) and 500 not in got
 
 
+class Counted(Scratch):
+    """Counts the tables written."""
+
+    def put(self, df, name):
+        self.made = [*getattr(self, "made", []), name]
+        return super().put(df, name)
+
+
+def parted(edges):
+    """The smallest id that each end reaches, by brute force."""
+    root = {x: x for e in edges for x in e if None not in e and e[0] != e[1]}
+    while any(root[a] != root[b] for a, b in edges if a in root and b in root):
+        for a, b in edges:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_few_edges_take_no_round(spark):
+    """Each round of joins has its fixed cost, so few edges take none, whatever their form; stars beyond the bound take none either."""
+    r = random.Random(5)
+    edges = [(i, i + 1) for i in range(60)] + [(r.randrange(-900, -100), r.randrange(-900, -100)) for _ in range(400)] + [(70, 70), (1 << 62, -(1 << 63)), (3, 1), (1, 3)]
+    df, scratch = spark.createDataFrame([*edges, (None, 5), (80, None)], "a long, b long").repartition(3), Counted(spark, "t")
+    got = rows_of(components(df, scratch, "c"))
+    assert dict(got) == parted(edges) and len(got) == len(dict(got)) and not hasattr(scratch, "made")
+    assert components(df.where("a is null"), scratch, "e").count() == 0
+
+
+def test_rounds_join_what_the_driver_joins(spark, monkeypatch):
+    monkeypatch.setattr("vecloom.llm.components.BROADCAST_ROWS", -1)
+    r = random.Random(6)
+    for form in ([(i, i + 1) for i in range(50)] + [(90, 20), (70, 71), (71, 70), (60, 60)], [(r.randrange(120), r.randrange(120)) for _ in range(90)], [(99, i) for i in range(30)] + [(40, 45), (41, 46)]):
+        got = rows_of(components(spark.createDataFrame([*form, (None, 5)], "a long, b long"), Scratch(spark, "t"), "c"))
+        assert dict(got) == parted(form) and len(got) == len(dict(got))
+    scratch, empty = Counted(spark, "t"), spark.createDataFrame([], "a long, b long")
+    stars = [(7, 3), (9, 3), (8, 3), (5, 4), (3, 7)]
+    assert dict(rows_of(components(spark.createDataFrame(stars, "a long, b long"), scratch, "c"))) == parted(stars)
+    assert scratch.made == ["c_0", "c_1_large"] and components(empty, scratch, "e").count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), max_size=40))
+@settings(max_examples=80, deadline=None)
+def test_least_reached_by_brute_force(edges):
+    edges = [e for e in edges if e[0] != e[1]]
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
+    ids, root = least_reached(a, b)
+    assert dict(zip(ids.tolist(), root.tolist(), strict=True)) == parted(edges)
+
+
+@pytest.mark.parametrize("block", [(512, 10**6), (4, 900)])
+def test_near_beyond_broadcasts(spark, monkeypatch, block):
+    """Where members are too many to broadcast, joins and rounds give the same classes."""
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr("vecloom.llm.components.BROADCAST_ROWS", -1)
+    rows = near_rows(5) + ODD
+    got = rows_of(near_dup.classes(docs(spark, rows, True).repartition(3), block_nodes=block[0], block_runs=block[1]))
+    assert sorted(got, key=repr) == sorted(brute_near(rows), key=repr)
+
+
 # ---- passages -------------------------------------------------------------
 
 

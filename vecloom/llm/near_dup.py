@@ -48,13 +48,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, bound_batches, boxed, join_sized, mix64, parallelism, read, utf8, whole_groups
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, Scratch, bound_batches, boxed, join_sized, mix64, parallelism, read, utf8, whole_groups
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEEPEST, RECALL = 32, 6, 0.99999
 SLACK = 0.15
 BLOCK_NODES, BLOCK_RUNS = 512, 1_000_000
+#: What a member of a component takes in a broadcast, with its hash table; about 180 measured.
+MEMBER_BYTES = 200
 U = np.uint64
 
 _BASE = 0x9E3779B97F4A7C15
@@ -359,10 +361,14 @@ def classes(
     edges = scratch.put(dealt.mapInArrow(_forest_edges(threshold - SLACK, deepest, floor, stop), "a long, b long").distinct(), "edges")
     scratch.settle()
     members = scratch.put(components(edges, scratch, "near"), "members")
-    sizes = members.join(nodes.select(F.col("node").alias("id"), "name", "rep", "size", "n_runs").hint("merge"), "id")
-    sizes = scratch.put(sizes, "sizes")
+    few = members.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // MEMBER_BYTES)  # then what has a row a member at most meets the rest by broadcast
+    met = lambda df: F.broadcast(df) if few else df.hint("merge")
+    sizes = nodes.select(F.col("node").alias("id"), "name", "rep", "size", "n_runs").join(met(members), "id")
+    sizes = scratch.put(sizes.select("id", "root", "name", "rep", "size", "n_runs"), "sizes")
     ways = sizes.groupBy("root").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n_runs") / block_runs)).alias("ways"))
-    sizes = scratch.put(join_sized(sizes, scratch.put(ways, "ways"), ["root"], "n").drop("n"), "placed")
+    ways = scratch.put(ways, "ways")
+    placed = sizes.join(met(ways), "root") if few else join_sized(sizes, ways, ["root"], "n")
+    sizes = scratch.put(placed.drop("n"), "placed")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,9 +378,8 @@ def classes(
     # Of each node in a component one text: that of its smallest doc_id. Texts of other ids are not looked at again.
     wanted = sizes.withColumn("rep", F.coalesce("rep", F.lit(-1 << 63))).withColumnRenamed("id", "node").drop("n_runs")
     reps = scratch.put(wanted.select("rep").distinct(), "reps")
-    few = reps.count() <= BROADCAST_ROWS
-    own = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("rep"), "text").join(F.broadcast(reps) if few else reps.hint("merge"), "rep", "left_semi")
-    own = own.mapInArrow(name, "rep long, name binary, text string").dropDuplicates(["name", "rep"]).join(wanted.hint("merge"), ["name", "rep"])
+    own = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("rep"), "text").join(met(reps), "rep", "left_semi")
+    own = own.mapInArrow(name, "rep long, name binary, text string").dropDuplicates(["name", "rep"]).join(met(wanted), ["name", "rep"])
     dealt = block_pairs(own, "root", "ways", "node").select("task", "node", "side", "crosses", "size", "ways", "text").repartition(parts, "task").sortWithinPartitions("task")
     found = scratch.put(dealt.mapInArrow(_verify(words, threshold), "node long, links long, near long, apart boolean"), "found")
     scratch.settle()
@@ -382,8 +387,8 @@ def classes(
     apart = found.where("apart and node <> near").select(F.col("node").alias("a"), F.col("near").alias("b"))
     if apart.limit(1).count():
         joined = components(apart, scratch, "apart").select(F.col("id").alias("node"), F.col("root").alias("across"))
-        linkage = linkage.join(scratch.put(joined, "across").hint("merge"), "node", "left").withColumn("near", F.coalesce("across", "near")).drop("across")
-    full = nodes.select("node", "name", "rep", "size").join(scratch.put(linkage, "linkage").hint("merge"), "node", "left")
+        linkage = linkage.join(met(scratch.put(joined, "across")), "node", "left").withColumn("near", F.coalesce("across", "near")).drop("across")
+    full = nodes.select("node", "name", "rep", "size").join(met(scratch.put(linkage, "linkage")), "node", "left")
     full = scratch.put(full.select("node", "name", "rep", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("near", "node").alias("near")), "full")
     named = scratch.put(full.groupBy("near").agg(F.min("rep").alias("class_id"), F.count("*").alias("n")), "named")
     full = scratch.put(join_sized(full, named, ["near"], "n").select("name", "size", "n_links", "class_id"), "classes")
