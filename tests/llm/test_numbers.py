@@ -1,11 +1,14 @@
 """Nearest neighbours, mixing, packing and the pipeline against brute force."""
 
+import itertools
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -239,6 +242,50 @@ def test_words_are_forgotten(monkeypatch):
         assert own.encode([t])[0].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@given(st.lists(st.text(alphabet="ab'stmdrevl'Té ñ1²½ \n\t\xa0.,\x85\x1cß\u0331", max_size=30), max_size=5))
+@settings(max_examples=1000, deadline=None)
+def test_split_of_bytes_is_that_of_the_words(texts):
+    global _WORDS
+    if "_WORDS" not in globals():
+        _WORDS = packing.WordIds(packing.tokenizer_path())
+    low = [t.lower() for t in texts]
+    words, bounds = _WORDS.split(low)
+    want = [_WORDS.words(t) for t in low]
+    assert words.to_pylist() == [w for x in want for w in x]
+    assert bounds.tolist() == list(itertools.accumulate(map(len, want)))
+
+
+def test_split_unlike_the_tokenizers_goes_through_it(monkeypatch):
+    """As above, for what is split from bytes: several of the tokenizer's words taken for one are noticed."""
+    own = packing.WordIds(packing.tokenizer_path())
+    monkeypatch.setattr(own, "split", lambda texts: (pa.array(["two words", "one", ", two"], pa.large_string()), np.array([1, 3])))
+    texts = ["two words", "one, two"]
+    assert [x.tolist() for x in own.encode(texts)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_texts_beside_others_get_their_own_ids():
+    """Texts of a batch that go through the tokenizer whole, are empty or hold no words keep their places."""
+    own = packing.WordIds(packing.tokenizer_path())
+    batch = ["", "it's a", "日本 語", "<|endoftext|> x", " \n", "l'été 25²", "", "it'sa 'll'd''s'", "Я"]
+    for some in (batch, batch[::-1], ["日本"], ["", " "], []):
+        assert [x.tolist() for x in own.encode(some)] == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_a_word_is_encoded_once_a_worker(monkeypatch):
+    """Tasks that one worker runs share what it learned; a word is looked up once a batch, not each time it stands there."""
+    learned, looked = [], []
+    learn, get = packing.WordIds.learn, packing.Places.__getitem__
+    monkeypatch.setattr(packing.WordIds, "learn", lambda self, some: learned.extend(some) or learn(self, some))
+    monkeypatch.setattr(packing.Places, "__getitem__", lambda self, w: looked.append(w) or get(self, w), raising=False)
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["qua quo qua " * 50, "quo qui"]})
+    packing.word_ids.cache_clear()
+    cut = [packing._cut(packing.tokenizer_path(), 64, 2, True) for _ in range(2)]
+    one, two = [next(c(iter([batch]))).to_pydict() for c in cut]
+    packing.word_ids.cache_clear()
+    assert one == two and learned == ["qua", "quo", "qui"] and looked == learned * 2
+
+
 def check_pieces(pieces, rows, length):
     from tokenizers import Tokenizer
 

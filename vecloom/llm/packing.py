@@ -9,10 +9,11 @@ come from a hash and hold about ``group_size`` documents whatever the input, so
 they run in parallel and none grows with the data.
 
 Ids come from the tokenizer itself.  For Latin text the tokenizer's own
-pre-tokenisation is repeated here and each distinct word is encoded once and
-remembered; any text outside that range, itself or in lower case, not in normal
-form or with a special token's string goes through the tokenizer whole, and so
-do all texts of a batch whose words turn out not to be the tokenizer's.
+pre-tokenisation is repeated here, on the bytes of many texts at once, and each
+distinct word is encoded once and remembered by the worker for its later tasks;
+any text outside that range, itself or in lower case, not in normal form or with
+a special token's string goes through the tokenizer whole, and so do all texts
+of a batch whose words turn out not to be the tokenizer's.
 
 Defined results: null text is an empty text, whose only id is the closing id.
 Repeated rows are packed each on their own, ties in length in the order of rows.
@@ -23,6 +24,7 @@ and text are read, so other columns may have any names.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
@@ -83,6 +85,10 @@ class WordIds:
         letters, numbers = ("".join(f"\\u{c:04x}" for c in kinds[k]) for k in "LN")
         space = "\\t-\\r \\x85\\xa0"
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
+        # Kinds of characters: 0 white space, 1 letters, 2 numbers, 3 others.
+        self.kinds = np.full(self.LIMIT, 3, np.uint8)
+        for kind, within in enumerate((f"[{space}]", f"[{letters}]", f"[{numbers}]")):
+            self.kinds[[c for c in range(self.LIMIT) if re.match(within, chr(c))]] = kind
         self.beyond = re.compile(f"[\\u{self.LIMIT:04x}-\U0010ffff]").search
         self.forget()
 
@@ -91,8 +97,11 @@ class WordIds:
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, words: list[str]) -> bool:
-        """Encodes words in lines of many; every word's last id, and no other, is one that ends a word. False where that does not hold."""
-        lines = [" ".join(words[i : i + 1024]) for i in range(0, len(words), 1024)]
+        """Encodes words in lines of many; each is one word again when split, and its last id, and no other, is one that ends a word. False where that does not hold."""
+        some = [words[i : i + 1024] for i in range(0, len(words), 1024)]
+        lines = [" ".join(x) for x in some]
+        if any(self.words(line) != x for line, x in zip(lines, some, strict=True)):
+            return False
         ids = np.concatenate([np.array(x.ids, np.uint32) for i in range(0, len(lines), 8) for x in self.tokenizer.encode_batch_fast(lines[i : i + 8], add_special_tokens=False)])
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         lengths = np.diff(ends, prepend=0)
@@ -112,32 +121,61 @@ class WordIds:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of lower-cased texts, one after another, as ``words`` finds them in each, and how many there are up to the end of each text."""
+        parts = [x.encode() for x in texts]
+        data = np.frombuffer(b"\n".join([*parts, b"\n\n"]), np.uint8)  # white space beyond the end, for the looks ahead
+        kind = self.kinds[data]
+        wide = np.flatnonzero(data >= 0xC0)  # within LIMIT, the first of two bytes
+        kind[wide] = kind[wide + 1] = self.kinds[(data[wide] & 31).astype(np.int64) << 6 | data[wide + 1] & 63]
+        first = kind == 2
+        first[wide + 1] = False
+        first[0] = True
+        first[1:] |= kind[1:] != kind[:-1]
+        # A quotation mark that a word would begin with takes 's 't 'm 'd 're 've 'll along and leaves the rest of the letters.
+        quote = np.flatnonzero(data == ord("'"))
+        quote = quote[first[quote]]
+        a, b = data[quote + 1], data[quote + 2]
+        one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = (a == ord("r")) & (b == ord("e")) | (a == ord("v")) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        first[quote[one | two] + 1] = False
+        first[quote[one] + 2] = True
+        first[quote[two] + 3] = True
+        inside = kind != 0
+        at = np.flatnonzero(first & inside)
+        starts, held = np.flatnonzero(first[inside]), data[inside]
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(held))), pa.py_buffer(held))
+        return words, np.searchsorted(at, np.cumsum([len(x) + 1 for x in parts], dtype=np.int64))
+
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.at) > REMEMBERED:
             self.forget()
-        place = self.at.__getitem__
-        split = [None if (low := self.lowered(x)) is None else list(map(place, self.words(low))) for x in batch]
+        low = [self.lowered(x) for x in batch]
+        words, bounds = self.split([x for x in low if x is not None])
+        words = words.dictionary_encode()
+        place = list(map(self.at.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
         if self.at.new:
             known = self.learn(self.at.new)
             self.at.new = []
             if not known:  # the split is not the tokenizer's: it encodes the texts itself
                 self.forget()
                 return [self.whole(x) for x in batch]
-        out = []
-        for text, words in zip(batch, split, strict=True):
-            if words is None:
-                out.append(self.whole(text))
-                continue
-            k = np.array(words, np.int64)
-            lengths = self.lengths[k]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.starts[k] - ends + lengths, lengths) + np.arange(total)])
-        return out
-
-
-def slices(batch: list[str], size: int = 1 << 19) -> Iterator[list[str]]:
-    """Neighbouring texts of about ``size`` characters in all: words in hand are many times the text."""
+        k = np.array(place, np.int64)[words.indices.to_numpy()]
+        lengths = self.lengths[k]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.starts[k] - ends + lengths, lengths) + np.arange(lengths.sum())]
+        split = iter(np.split(ids, np.append(0, ends)[bounds]))
+        return [self.whole(text) if x is None else next(split) for text, x in zip(batch, low, strict=True)]
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker: words that one task met need not be encoded again by the next."""
+    return WordIds(path)
+
+
+def slices(batch: list[str], size: int = 1 << 21) -> Iterator[list[str]]:
+    """Neighbouring texts of about ``size`` characters in all: words in hand are many times the text, and a word is looked up once in all of them."""
     some, held = [], 0
     for text in batch:
         some.append(text)
@@ -187,7 +225,7 @@ PIECES = "doc_id long, row long, start long, length long, ids_crc32 long, doc_to
 
 def _cut(path: str, length: int, closing: int, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, row = WordIds(path), TaskContext.get().partitionId() << 40
+        words, row = word_ids(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = {k: [] for k in ("doc_id", "row", "start", "length", "ids_crc32", "doc_tokens") + (("ids",) if keep_ids else ())}
             for doc, ids in zip(batch.column(0).to_pylist(), (ids for some in slices(texts(batch.column(1))) for ids in words.encode(some)), strict=True):
