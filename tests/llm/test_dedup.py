@@ -408,3 +408,45 @@ def test_driver_tables(spark, sf_dir):
     assert sorted(rows_of(near_dup.classes(d)), key=repr) == sorted(brute_near(rows), key=repr)
     assert sorted(rows_of(suffix_dedup.remove_repeats(d)), key=repr) == sorted(brute_passages(rows), key=repr)
     assert d.select(F.count("*")).first()[0] == len(rows)
+
+
+def test_messages_leave_many_to_a_batch():
+    """Messages number as the square of the table; each was a batch of its own."""
+    sent = [("n", i, 7, bytes([i % 256]) * 100) for i in range(3000)]
+    out = list(suffix_dedup.together(iter(sent)))
+    assert [b.num_rows for b in out] == [1024, 1024, 952]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == sent
+    large = list(suffix_dedup.together(("a", i, 1, bytes(1 << 20)) for i in range(5)))
+    assert [b.num_rows for b in large] == [2, 2, 1] and not list(suffix_dedup.together(iter([])))
+
+
+def test_owners_are_found_once_and_kept_as_steps():
+    rng = random.Random(5)
+    data = bytes(rng.choice(b"abcd ") for _ in range(5000)) + b"x" * 3000
+    offsets = np.array([0, 10, 2000, 2600, 8000])
+    for qgram in (8, 13, 16, 20, 33, 50):
+        at, name = suffix_dedup.owners(data, offsets, 50, qgram)
+        word = suffix_dedup.words_at(data)
+        assert (suffix_dedup.names_at(word, at, qgram) == name).all()
+        assert (suffix_dedup.places(suffix_dedup.gaps(at)) == at).all()
+    for at in ([], [0], [254], [255], [0, 255, 510, 511, 70_000]):
+        assert suffix_dedup.places(suffix_dedup.gaps(np.array(at, np.int64))).tolist() == at
+
+
+def test_no_bucket_is_refined_twice(spark, monkeypatch):
+    """The cut takes what the third round noted; it refined all buckets of the batch anew."""
+    rng = random.Random(9)
+    common = [bytes(rng.choice(b"abcdefgh") for _ in range(90)) for _ in range(4)]
+    bodies = [rng.choice(common)[: rng.randint(50, 90)] + bytes(rng.choice(b"ijklmn") for _ in range(40)) + rng.choice(common) for _ in range(30)]
+    lengths, data = np.array(list(map(len, bodies))), b"".join(bodies)
+    ids, answers = np.array(rng.sample(range(100), 30)), {k: {} for k in "nmasg"}
+    made = []
+    monkeypatch.setattr(suffix_dedup, "Refined", lambda *a, f=suffix_dedup.Refined: made.append(1) or f(*a))
+    batch = lambda: suffix_dedup.Batch(0, ids, lengths, data, 1, 50, 20, answers)
+    for round_ in (1, 2, 3):
+        for kind, bucket, _, blob in batch().send(round_):
+            answers[kind][bucket] = suffix_dedup.answer(kind, [blob])[0]
+    got = [(int(i), *f[:3], hashlib.sha256(f[3]).hexdigest()) for i, f in zip(ids, batch().cut(), strict=True)]
+    assert made == [1]
+    want = suffix_dedup.remove_repeats(docs(spark, [(int(i), b.decode()) for i, b in zip(ids, bodies, strict=True)]), batch_bytes=300)
+    assert sorted(got) == sorted(rows_of(want)) and sum(g[2] for g in got) > 1000

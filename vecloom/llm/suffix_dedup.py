@@ -25,7 +25,8 @@ send by these names and answer each batch.
 2. of those, the names of all text around an owner (the strings it owns, taken
    together): the smallest doc_id of each; and whether an owner has several;
 3. where an owner has several, the buckets of its single strings, refined, told
-   once for each different surrounding: the smallest doc_id of each.
+   once for each different surrounding: where a smaller doc_id has them.  What a
+   bucket's other suffixes in the batch need is kept, so no bucket is refined twice.
 
 Then each batch marks and cuts its own documents.  A round has a task for each
 batch, whatever a setting says, so a task's share stays the
@@ -80,6 +81,16 @@ def names(word: np.ndarray, depth: int) -> np.ndarray:
     return name
 
 
+def names_at(word: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """``names`` of some suffixes only."""
+    if depth == 8:
+        return mix64(word[starts])
+    half = 8
+    while half * 2 < depth:
+        half *= 2
+    return pair(names_at(word, starts, half), names_at(word, starts + (depth - half), half))
+
+
 def names_of(word: np.ndarray, starts: np.ndarray, depth: int, salt: np.uint64 = U(0)) -> np.ndarray:
     """Names of the first ``depth`` bytes of some suffixes, from the bytes at every eighth offset; another ``salt`` gives another name."""
     name = mix64(word[starts] ^ salt)
@@ -204,6 +215,23 @@ def deal(kind: str, batch: int, buckets: int, keys: np.ndarray, *columns: np.nda
         yield kind, b, batch, packed(*(c[i:j] for c in (keys, *columns)))
 
 
+#: Messages and bytes of them that leave Python at a time.
+SENT_ROWS, SENT_BYTES = 1024, 2 << 20
+
+
+def together(messages: Iterator[tuple[str, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Messages many to a batch: they number as the square of the table, and a batch of its own for each would cost more than what it says."""
+    held, size = [], 0
+    for message in messages:
+        held.append(message)
+        size += len(message[3])
+        if len(held) == SENT_ROWS or size >= SENT_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held, strict=True), MESSAGE_SCHEMA, strict=True)], schema=MESSAGE_SCHEMA)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*held, strict=True), MESSAGE_SCHEMA, strict=True)], schema=MESSAGE_SCHEMA)
+
+
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of 8-byte numbers, each as its highest bytes, its next ones and so on, compressed: what sorted names and small ids share lies together."""
     raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T[::-1].tobytes() for c in columns)
@@ -219,8 +247,10 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
 
 
 def answer(kind: str, blobs: list[bytes]) -> list[bytes]:
-    """What a bucket answers to each batch: bits for names (n: in several batches, m: several surroundings), ids for a and s, whose names have two parts."""
-    parts = [unpack(b, {"n": 1, "m": 3, "a": 3, "s": 3}[kind]) for b in blobs]
+    """What a bucket answers to each batch: bits for names (n: in several batches, m: several surroundings); of a and s, whose names have two parts, ids, and the places that a smaller document has, too. A batch's own notes (g) go back as they are."""
+    if kind == "g":
+        return blobs
+    parts = [unpack(b, {"n": 1, "m": 3, "a": 3, "s": 4}[kind]) for b in blobs]
     keys = np.concatenate([p[0] for p in parts])
     if kind == "n":
         known, count = least_by(keys, (np.add, np.ones(len(keys), np.int64)))
@@ -232,18 +262,20 @@ def answer(kind: str, blobs: list[bytes]) -> list[bytes]:
     order, begins, place = grouped(keys, np.concatenate([p[1] for p in parts]))
     ids = least_of(order, begins, np.concatenate([p[2] for p in parts]))[place]
     cut = np.cumsum([len(p[0]) for p in parts])[:-1]
+    if kind == "s":
+        return [gaps(np.sort(p[3][x < p[2]])) for p, x in zip(parts, np.split(ids, cut), strict=True)]
     return [packed(x) for x in np.split(ids, cut)]
 
 
 class Batch:
     """What a batch sends in each round and marks in the end, from its texts and the answers so far."""
 
-    def __init__(self, number: int, docs: np.ndarray, lengths: np.ndarray, data: bytes, buckets: int, length: int, qgram: int, answers: dict[str, dict[int, bytes]]):
+    def __init__(self, number: int, docs: np.ndarray, lengths: np.ndarray, data: bytes, buckets: int, length: int, qgram: int, answers: dict[str, dict[int, bytes]], owned: np.ndarray | None = None):
         self.number, self.buckets, self.docs, self.data, self.answers = number, buckets, docs, data, answers
         self.length, self.width = length, length - qgram + 1
         self.offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         self.word = words_at(data)
-        self.at, self.name = owners(data, self.offsets, length, qgram)
+        self.at, self.name = owners(data, self.offsets, length, qgram) if owned is None else (owned, names_at(self.word, owned, qgram))
         order = np.argsort(self.name)
         k = self.name[order]
         new = np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])
@@ -315,6 +347,8 @@ class Batch:
             return
         self.hear()
         yield from deal("s", self.number, self.buckets, *self.told())
+        gone = gaps(self.gone)
+        yield "g", self.number, self.number, struct.pack("<q", len(gone)) + gone + packed(*self.again)
 
     def hear(self) -> None:
         """Of each owner: the smallest document with its surrounding, and whether its name has several surroundings."""
@@ -327,22 +361,24 @@ class Batch:
         several[self.abroad] |= self.bits("m", self.names[self.abroad])
         self.several = several[self.own_group]
 
-    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets of single strings, by name: both parts and the smallest document here. The document that holds a surrounding first tells for all that hold it."""
+    def told(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of single strings, by name: both parts, the smallest document here and a place in it. The document that holds a surrounding first tells for all that hold it."""
         chosen = np.flatnonzero(self.several & (self.smallest == self.doc))
-        first, end = self.first[chosen], self.end[chosen]
-        self.refined = Refined(self.word, first, end, self.length)
-        places, buckets = self.refined.places, self.refined.ids.astype(np.int64)
-        doc = self.docs[np.searchsorted(self.offsets, places, "right") - 1]
-        order = np.argsort(buckets, kind="stable")
+        refined = Refined(self.word, self.first[chosen], self.end[chosen], self.length)
+        places, buckets = refined.places, refined.ids.astype(np.int64)
+        known, rank = np.unique(self.docs, return_inverse=True)
+        doc = rank.reshape(-1)[np.searchsorted(self.offsets, places, "right") - 1]
+        order = np.argsort(buckets * len(known) + doc)
         begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), buckets[order][1:] != buckets[order][:-1]]))
-        of = places[order[begins]]
+        of, least = places[order[begins]], doc[order[begins]]
+        #: Places that go whatever other batches say, and those that go with the place told, which lies in their document.
+        self.gone = places[doc > least[buckets]]
+        with_it = np.flatnonzero((doc == least[buckets]) & (places != of[buckets]))
+        self.again = places[with_it], of[buckets[with_it]]
         one, two = (names_of(self.word, of, self.length, x) for x in (U(0), OTHER))
         two &= PART
-        by_name = np.lexsort((two, one))
-        #: The bucket that each name told stands for.
-        self.told_bucket = by_name
-        return one[by_name], two[by_name], least_of(order, begins, doc)[by_name]
+        by_name = np.argsort(one)
+        return one[by_name], two[by_name], known[least[by_name]], of[by_name]
 
     def cut(self) -> Iterator[tuple[int, int, int, bytes]]:
         """Of each document: bytes, bytes removed, runs removed, what is kept."""
@@ -352,13 +388,12 @@ class Batch:
         whole = self.smallest < self.doc
         np.add.at(marks, self.first[whole], 1)
         np.add.at(marks, self.end[whole] + self.length, -1)
-        # What is not whole is told, by this very document: its buckets have their answers.
-        self.told()
-        smallest = np.full(len(self.told_bucket), NO_ID, np.int64)
-        smallest[self.told_bucket] = self.ids("s")
-        starts = self.refined.places
-        doc = self.docs[np.searchsorted(self.offsets, starts, "right") - 1]
-        starts = starts[smallest[self.refined.of(starts)] < doc]
+        # What is not whole was told, by this very document: its buckets have their answers.
+        (notes,) = self.answers["g"].values()
+        size = 8 + struct.unpack("<q", notes[:8])[0]
+        starts, told = (x.view(np.int64) for x in unpack(notes[size:], 2))
+        heard = np.concatenate([places(x) for x in self.answers["s"].values()] or [np.zeros(0, np.int64)])
+        starts = np.concatenate([places(notes[8:size]), heard, starts[np.isin(told, heard)]])
         np.add.at(marks, starts, 1)
         np.add.at(marks, starts + self.length, -1)
         gone = np.cumsum(marks[:-1], out=marks[:-1]) > 0
@@ -369,11 +404,25 @@ class Batch:
             yield len(body), removed, spans, np.frombuffer(body, np.uint8)[~mask].tobytes() if removed else body
 
 
-BATCHES = "batch long, doc_ids binary, lengths binary, body binary"
+BATCHES = "batch long, doc_ids binary, lengths binary, body binary, owned binary"
+
+
+def gaps(at: np.ndarray) -> bytes:
+    """Ascending places as the steps between them, a byte each; 255 for so many and no place. Compressed, they take less than a twentieth of the text."""
+    step = np.diff(at, prepend=0)
+    out = np.full(int((step // 255 + 1).sum()), 255, np.uint8)
+    out[np.cumsum(step // 255 + 1) - 1] = step % 255
+    return struct.pack("<q", len(out)) + pa.Codec("zstd", 1).compress(out.tobytes(), asbytes=True)
+
+
+def places(blob: bytes) -> np.ndarray:
+    """The places back."""
+    step = np.frombuffer(pa.Codec("zstd", 1).decompress(blob[8:], struct.unpack("<q", blob[:8])[0], asbytes=True), np.uint8)
+    return np.cumsum(step, dtype=np.int64)[step < 255]
 
 
-def _collect(batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Neighbouring documents as one compressed row of about ``batch_bytes``."""
+def _collect(batch_bytes: int, length: int, qgram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Neighbouring documents as one compressed row of about ``batch_bytes``, with the places of its owners, which every round needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, bodies, size = TaskContext.get().partitionId() << 32, [], [], 0
@@ -382,8 +431,10 @@ def _collect(batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         def out() -> pa.RecordBatch:
             body = b"".join(bodies)
             packed = struct.pack("<q", len(body)) + codec.compress(body, asbytes=True)
-            arrays = [np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(), np.array(list(map(len, bodies)), "<i8").tobytes(), packed]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in arrays)], ["batch", "doc_ids", "lengths", "body"])
+            lengths = np.array(list(map(len, bodies)), "<i8")
+            owned = owners(body, np.concatenate([[0], np.cumsum(lengths)]), length, qgram)[0]
+            arrays = [np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes(), lengths.tobytes(), packed, gaps(owned)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in arrays)], ["batch", "doc_ids", "lengths", "body", "owned"])
 
         for batch in batches:
             for i, body in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
@@ -403,7 +454,7 @@ def _batches(rows: Iterator[pa.RecordBatch], buckets: int, length: int, qgram: i
     """Batches with the answers they got; a batch's own row and its answers lie together."""
     for table, bounds in whole_groups(rows, "batch"):
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            answers: dict[str, dict[int, bytes]] = {"n": {}, "m": {}, "a": {}, "s": {}}
+            answers: dict[str, dict[int, bytes]] = {"n": {}, "m": {}, "a": {}, "s": {}, "g": {}}
             own = None
             for row in table.slice(a, b - a).to_pylist():
                 if row["kind"]:
@@ -412,7 +463,7 @@ def _batches(rows: Iterator[pa.RecordBatch], buckets: int, length: int, qgram: i
                     own = row
             lengths, packed = np.frombuffer(own["lengths"], "<i8"), own["blob"]
             body = pa.Codec("zstd", 1).decompress(packed[8:], struct.unpack("<q", packed[:8])[0], asbytes=True)
-            yield Batch(own["batch"], np.frombuffer(own["doc_ids"], "<i8"), lengths, body, buckets, length, qgram, answers)
+            yield Batch(own["batch"], np.frombuffer(own["doc_ids"], "<i8"), lengths, body, buckets, length, qgram, answers, places(own["owned"]))
 
 
 def _reduce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,11 +482,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, qgram: int = QGRAM, ba
     bound_batches(spark)
     scratch = Scratch(spark, "suffix")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    batches = scratch.put(docs.mapInArrow(_collect(batch_bytes), BATCHES), "batches")
+    batches = scratch.put(docs.mapInArrow(_collect(batch_bytes, length, qgram), BATCHES), "batches")
     count = batches.count()
     buckets = max(1, -(-count * batch_bytes // bucket_bytes))
     n = max(parallelism(spark), count)  # tasks of a batch or a few, at any size
-    own = batches.select(F.lit("").alias("kind"), F.lit(-1).cast("long").alias("bucket"), "batch", F.col("body").alias("blob"), "doc_ids", "lengths")
+    own = batches.select(F.lit("").alias("kind"), F.lit(-1).cast("long").alias("bucket"), "batch", F.col("body").alias("blob"), "doc_ids", "lengths", "owned")
     heard: DataFrame = own
 
     def with_answers() -> DataFrame:
@@ -444,8 +495,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, qgram: int = QGRAM, ba
     def send(round_: int):
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _batches(rows, buckets, length, qgram):
-                for message in batch.send(round_):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(message, MESSAGE_SCHEMA, strict=True)], schema=MESSAGE_SCHEMA)
+                yield from together(batch.send(round_))
 
         return run
 
@@ -456,7 +506,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, qgram: int = QGRAM, ba
         answers = scratch.put(answers, f"answers_{round_}")
         scratch.settle()
         nothing = F.lit(None).cast("binary")
-        heard = heard.unionByName(answers.withColumn("doc_ids", nothing).withColumn("lengths", nothing))
+        heard = heard.unionByName(answers.withColumn("doc_ids", nothing).withColumn("lengths", nothing).withColumn("owned", nothing))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(rows, buckets, length, qgram):
